@@ -20,6 +20,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrain.llm.language_id import predict_languages
+
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrain.llm.token_counts import count_tokens
 
@@ -32,12 +38,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_words(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrain.llm.quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrain.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_substring_dedup, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_substring_dedup, op6_quality_rules, op7_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -32,6 +32,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrain.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrain.llm.pieces import digests
+
+    return digests(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrain.llm.substrings import kept_words
 
@@ -50,6 +62,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_substring_dedup, op6_quality_rules, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_piece_lattice, op5_substring_dedup, op6_quality_rules, op7_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,13 +39,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later plan reads, and let Spark drop the shuffle files behind them."""
+    def drop(self, *names: str, shuffles: bool = False) -> None:
+        """Delete tables that no later plan reads; with shuffles, let Spark drop the shuffle files behind them too."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+        if shuffles:
+            gc.collect()
+            jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -108,4 +108,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             yield pd.DataFrame({"tokenizer": [kind] * len(texts), "digest": pdf["digest"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": count(texts)})
 
     first.select(F.col("want").alias("digest"), "text").mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
-    return keyed.join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Written, so that both sides of the join are plain exchanges and a digest that many rows share can be split.
+    counts = scratch.save(known(), "counts")
+    return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -62,6 +62,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_piece_lattice, op5_substring_dedup, op6_quality_rules, op7_simhash)}
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrain.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_piece_lattice, op5_substring_dedup, op6_quality_rules, op7_simhash, op8_html_text)}
 
 ORACLE_SQL: dict[str, str] = {}

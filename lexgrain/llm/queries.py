@@ -68,12 +68,18 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrain.llm.pitman_yor import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrain.llm.embeddings import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_piece_lattice, op5_substring_dedup, op6_quality_rules, op7_simhash, op8_html_text, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_piece_lattice, op5_substring_dedup, op6_quality_rules, op7_simhash, op8_html_text, op9_lm_scores, op10_embedding_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ BINS = 1 << 15
 NGRAMS = (1, 2, 3)
 MAX_TRAIN = 4000
 PIECE = 1 << 20
+MAX_BROADCAST = 10_000
 UNKNOWN = "und"
 
 
@@ -119,9 +120,11 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
     (the documented bound), the same number of each language or all it has, drawn by a hash of the id;
     a fifth of the sample sets the temperature instead.
     """
-    langs = docs.groupBy("lang").count().where("lang <> ''")
-    per = F.lit(float(max_train)) / F.greatest(F.lit(1.0), F.lit(langs.count()).cast("double"))
-    rates = langs.select("lang", F.least(F.lit(1.0), per / F.col("count")).alias("rate"))
+    langs = scratch.save(docs.groupBy("lang").count().where("lang <> ''"), "langs")
+    many = langs.count()
+    rates = langs.select("lang", F.least(F.lit(1.0), F.lit(max_train / max(many, 1)) / F.col("count")).alias("rate"))
+    if many <= MAX_BROADCAST:  # else a sort-merge join, whose hot languages adaptive execution splits
+        rates = F.broadcast(rates)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
     rows = docs.join(rates, "lang").select("lang", "text", (draw < F.col("rate")).alias("pick"), (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0).alias("held"))
 

@@ -25,7 +25,7 @@ from lexgrain.llm.scratch import Scratch
 SPACE = "▁"
 N_BEST = 4
 FOUND = "piece_ids array<int>, best_score double, alternatives array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
-CACHE = 600_000
+CACHE = 1_200_000
 PENALTY = 10.0
 
 
@@ -106,25 +106,39 @@ class Lattice:
         Any other path has an edge off the best one, and the best path over an edge is a forward plus a
         backward score.
         """
-        edges = self.edges(unit)
-        best, back = self.forward(edges)
-        n = len(edges)
+        n, low, root, last = len(unit), -np.inf, self.trie, self.longest
+        best, back, edges = [0.0] + [low] * n, [(0, 0)] * (n + 1), []
+        for s in range(n):
+            node, e, base, lone = root, s, best[s], True
+            for ch in unit[s : s + last]:
+                if (node := node.get(ch)) is None:
+                    break
+                e += 1
+                if (found := node.get("")) is not None:
+                    i, score = found
+                    edges.append((s, e, score))
+                    if e == s + 1:
+                        lone = False
+                    if (score := score + base) > best[e]:
+                        best[e], back[e] = score, (s, i)
+            if lone:
+                score = self.byte_score * len(unit[s].encode("utf-8", "surrogatepass"))
+                edges.append((s, s + 1, score))
+                if (score := score + base) > best[s + 1]:
+                    best[s + 1], back[s + 1] = score, (s, -1)
         path, on, e = [], set(), n
         while e:
             s, i = back[e]
-            on.add(s * n + e)
+            on.add((s, e))
             path.append(i if i >= 0 else unit[s])
             e = s
-        behind, second, low = [-np.inf] * n + [0.0], -np.inf, -np.inf
-        for s in range(n - 1, -1, -1):
-            most, base, row = low, best[s], s * n
-            for e, score, _ in edges[s]:
-                through = score + behind[e]
-                if through > most:
-                    most = through
-                if base + through > second and row + e not in on:
-                    second = base + through
-            behind[s] = most
+        behind, second = [low] * n + [0.0], low
+        for s, e, score in reversed(edges):
+            score += behind[e]
+            if score > behind[s]:
+                behind[s] = score
+            if (score := score + best[s]) > second and (s, e) not in on:
+                second = score
         path.reverse()
         try:
             ids = array("i", path)

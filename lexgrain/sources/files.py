@@ -38,7 +38,7 @@ def read_tree(spark: SparkSession, root: str, patterns: list[str] | None = None,
     files = _listing(spark, root, patterns)
     if skip:
         files = files.where(~F.col("rel").rlike(_skipped())).where(T.language_of(T.suffix(F.col("rel")), T.CODE_LANGUAGE_OF_SUFFIX).isNotNull())
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "�", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
     return files.select(F.col("rel").alias("path"), text.alias("content"), T.language_of(T.suffix(F.col("rel"))).alias("lang"))
 
 

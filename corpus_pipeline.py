@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgrain.llm import language_id, mixing, pieces, simhash, substrings
 from lexgrain.llm.queries import tokenizer_file
-from lexgrain.llm.scratch import Scratch
+from lexgrain.llm.scratch import Scratch, full
 
 #: Below this calibrated probability no language is accepted; four guesses in the dark have 0.25.
 LEAST_SCORE = 0.3
@@ -44,7 +44,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shape = docs.schema
 
     def cut(batches):
-        for pdf in batches:
+        for pdf in full(batches):
             text = [substrings.cut_text(t, s) if t is not None else None for t, s in zip(pdf["text"], pdf.pop("__starts"), strict=True)]
             yield pdf.assign(text=text)[shape.names]
 

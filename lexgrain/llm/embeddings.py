@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.llm.components import connected_components
-from lexgrain.llm.scratch import Scratch, partitions
+from lexgrain.llm.scratch import Scratch, full, partitions
 from lexgrain.llm.simhash import _union
 
 THRESHOLD = 0.98
@@ -39,7 +39,7 @@ def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     """
 
     def run(batches):
-        for pdf in batches:
+        for pdf in full(batches):
             keys, spaces, blobs = [], [], []
             for i, e, name in zip(pdf["vec_id"], pdf["embedding"], pdf["label"], strict=True):
                 key = space = blob = None
@@ -69,7 +69,7 @@ def window_links(classes: DataFrame, passes: int = PASSES, window: int = WINDOW,
     n = partitions(classes.sparkSession)
 
     def project(batches):
-        for pdf in batches:
+        for pdf in full(batches):
             for space, part in pdf.groupby("space", sort=False):
                 blobs = part["blob"].tolist()
                 for turn in range(passes):
@@ -77,7 +77,7 @@ def window_links(classes: DataFrame, passes: int = PASSES, window: int = WINDOW,
 
     def compare(batches):
         held = None
-        for pdf in batches:
+        for pdf in full(batches):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             a, b = [], []
             for _, part in pdf.groupby(["turn", "space"], sort=False):
@@ -115,7 +115,7 @@ def counted(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches):
         held = None
-        for pdf in batches:
+        for pdf in full(batches):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             groups = [g for _, g in pdf.groupby(["component", "x", "y"], sort=False)]
             held = groups.pop()  # it may go on

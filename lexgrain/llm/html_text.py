@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.llm.scratch import Scratch
+from lexgrain.llm.scratch import Scratch, full
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -272,11 +272,12 @@ def train(pages: DataFrame, html: str = "html") -> dict[str, float]:
 
     def run(batches):
         counts: Counter = Counter()
-        for pdf in batches:
+        for pdf in full(batches):
             for page in pdf["html"]:
                 if page:
                     tally(page, counts)
-        yield pd.DataFrame({"key": list(counts), "n": [float(v) for v in counts.values()]})
+        if counts:
+            yield pd.DataFrame({"key": list(counts), "n": [float(v) for v in counts.values()]})
 
     sums = pages.select(F.col(html).cast("string").alias("html")).mapInPandas(run, "key string, n double").groupBy("key").agg(F.sum("n").alias("n"))
     counts = {r.key: r.n for r in sums.collect()}
@@ -301,7 +302,7 @@ def main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", ur
 
     def run(batches):
         tree = Tree(shared.value)
-        for pdf in batches:
+        for pdf in full(batches):
             text = [tree.extract(page) for page in pdf.pop("html")]
             yield pdf.assign(text=text, n_chars=[len(t) for t in text])
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.llm.scratch import Scratch
+from lexgrain.llm.scratch import Scratch, full
 
 BINS = 1 << 15
 NGRAMS = (1, 2, 3)
@@ -130,7 +130,7 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
 
     def run(batches):
         total, n = np.zeros(bins, np.int64), 0
-        for pdf in batches:
+        for pdf in full(batches):
             picked = []
             for lang, text, pick, held in zip(pdf["lang"], pdf["text"], pdf["pick"], pdf["held"], strict=True):
                 counts = ngram_counts(text, bins)
@@ -150,7 +150,7 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
 
     def add(batches):
         total, n = np.zeros(bins, np.int64), 0
-        for pdf in batches:
+        for pdf in full(batches):
             for k, blob in zip(pdf["n"], pdf["blob"], strict=True):
                 total += np.frombuffer(zlib.decompress(blob), "<i8")
                 n += int(k)
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     shape = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        for pdf in batches:
+        for pdf in full(batches):
             found = [shared.value.predict(t) for t in pdf.pop("__text")]
             yield pdf.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
 

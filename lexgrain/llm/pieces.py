@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexgrain.llm.scratch import Scratch
+from lexgrain.llm.scratch import Scratch, full
 
 SPACE = "▁"
 N_BEST = 4
@@ -274,7 +274,7 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text", do
 
     def run(batches):
         coder = Encoder(Lattice.load(model), n)
-        for pdf in batches:
+        for pdf in full(batches):
             found = [coder.encode(t or "") for t in pdf.pop("__text")]
             more = [[{"score": s, "edits": [{"at": k, "n": m, "ids": i} for k, (m, i) in sorted(e.items())]} for s, e in best[1:]] for _, best in found]
             yield pdf.assign(piece_ids=[ids for ids, _ in found], best_score=[best[0][0] for _, best in found], alternatives=more)
@@ -293,7 +293,7 @@ def digests(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text", do
 
     def run(batches):
         coder = Encoder(Lattice.load(model), n)
-        for pdf in batches:
+        for pdf in full(batches):
             out = []
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids, best = coder.encode(t or "")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.llm.scratch import Scratch, partitions
+from lexgrain.llm.scratch import Scratch, full, partitions
 
 WINDOW = 20
 ROUNDS = 5
@@ -263,7 +263,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rou
             held.clear()
             return pd.DataFrame(rows, columns=["bucket", "found", "blob"])
 
-        for pdf in batches:
+        for pdf in full(batches):
             for i, m, t in zip(pdf["doc_id"], pdf["mark"], pdf["text"], strict=True):
                 w = hashes_of(words_of(t))
                 for k in range(0, max(len(w) - width + 1, 0), BATCH_WORDS):  # a very long text goes in pieces that share width - 1 words
@@ -278,16 +278,17 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rou
 
     def compare(batches):
         blobs: dict[int, list[bytes]] = {}
-        for pdf in batches:
+        for pdf in full(batches):
             for b, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
                 blobs.setdefault(b, []).append(blob)
         while blobs:
             rows = list(_sent(*repeated(blobs.popitem()[1]), groups))
-            yield pd.DataFrame({"bucket": [g for g, _ in rows], "found": True, "blob": [b for _, b in rows]})
+            if rows:
+                yield pd.DataFrame({"bucket": [g for g, _ in rows], "found": True, "blob": [b for _, b in rows]})
 
     def gather(batches):
         got: dict[int, list[bytes]] = {}
-        for pdf in batches:
+        for pdf in full(batches):
             for g, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
                 got.setdefault(g, []).append(blob)
         while got:
@@ -316,7 +317,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rou
         kept: list[pd.DataFrame] = []
 
         def rest():
-            for pdf in batches:
+            for pdf in full(batches):
                 if pdf["found"].any():
                     kept.append(pdf[pdf["found"]])
                 if not pdf["found"].all():
@@ -357,7 +358,7 @@ def kept_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", widt
     starts = repeated_windows(rows, scratch, width, rounds)
 
     def digest(batches):
-        for pdf in batches:
+        for pdf in full(batches):
             out = []
             for i, t, s in zip(pdf["raw_id"], pdf["text"], pdf["starts"], strict=True):
                 words = words_of(t)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm.scratch import Scratch
+from lexgrain.llm.scratch import Scratch, full
 
 CACHE = "tokenizer binary, digest binary, n_bytes long, n_tokens long"
 LIMIT = 1024
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     def encode(batches):
         count = counter(tokenizer)
-        for pdf in batches:
+        for pdf in full(batches):
             texts = pdf["text"].tolist()
             yield pd.DataFrame({"tokenizer": [kind] * len(texts), "digest": pdf["digest"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": count(texts)})
 

@@ -62,7 +62,7 @@ def measures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 def rules() -> dict[str, tuple[Column, Column]]:
     """Each rule's (votes for good, votes for bad) over the measures; neither: it abstains."""
     n, c = F.col("n_words"), F.col
-    mean = c("word_chars") / n
+    mean = F.when(n > 0, c("word_chars") / n)
     return {
         "length": (n >= 50, n < 20),
         "word_length": (mean.between(3.0, 9.0), (mean < 2.0) | (mean > 14.0)),

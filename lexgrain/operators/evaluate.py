@@ -119,7 +119,7 @@ def confidence(rows: DataFrame, value: str, *by: str) -> DataFrame:
     x = F.col(value).cast("double")
     std = F.coalesce(F.stddev_samp(x), F.lit(0.0))
     std = F.when(F.count(x) > 1, std).otherwise(F.lit(0.0))
-    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), std.alias("std"), (F.lit(1.96) * std / F.sqrt(F.count(x).cast("double"))).alias("ci95"))
+    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), std.alias("std"), (F.lit(1.96) * std / F.sqrt(F.greatest(F.count(x), F.lit(1)).cast("double"))).alias("ci95"))
 
 
 def share_of(rows: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as T
-from lexgrain.operators.search import Query
+from lexgrain.operators.index import K1, B
+from lexgrain.operators.search import SHOULD_BOOST, Query
 
 DIFFICULTY_WEIGHT = {"easy": 1.0, "medium": 1.5, "hard": 2.0}
 
@@ -54,6 +55,45 @@ def ablation_variants(terms: list[str], symbols: list[str]) -> dict[str, Query]:
     return {"bm25_only": Query.of(must=terms), "plus_symbol": Query.of(must=terms, symbol=symbols), "plus_near": Query.of(must=terms, symbol=symbols, near=near), "plus_prior": Query.of(must=terms, should=tail or head, symbol=symbols, near=near)}
 
 
+# All queries of a task set at once.
+
+
+def batch_search(documents: DataFrame, postings: DataFrame, tasks: DataFrame, top: int = 50, k1: float = K1, b: float = B) -> DataFrame:
+    """tasks(task_id, must, should, min_match) -> (task_id, rank, doc_id, path, score), top results of each.
+
+    One plan for any number of tasks: postings meet the tasks' terms, documents their lengths, and each
+    task keeps its best before the exchange that ranks them. Scores are summed in order of the query.
+    """
+    stats = documents.agg(F.count("*").cast("double").alias("n"), F.avg(F.col("doc_length").cast("double")).alias("avg")).first()  # two numbers
+    slot = lambda kind: F.transform(kind, lambda t, i: F.struct(t.alias("term"), i.alias("at"), F.lit(kind == "must").alias("must")))
+    asked = tasks.select("task_id", F.size("must").alias("n_must"), "min_match", F.explode(F.concat(slot("must"), slot("should"))).alias("q")).select("task_id", "n_must", "min_match", "q.*")
+    needed = postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "tf")
+    df = needed.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    rows = needed.join(df, "term").join(documents.select("doc_id", "doc_length"), "doc_id")
+    tf, n, avg = F.col("tf").cast("double"), F.lit(stats["n"]), F.lit(stats["avg"] or 1.0)
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    score = idf * (tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * (F.col("doc_length").cast("double") / avg))))
+    hits = rows.withColumn("s", score).join(asked, "term")
+    part = F.struct((~F.col("must")).alias("late"), "at", F.when(F.col("must"), F.col("s")).otherwise(F.col("s") * SHOULD_BOOST).alias("s"))
+    found = hits.groupBy("task_id", "doc_id", "n_must", "min_match").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum(F.col("must").cast("int")).alias("musts"), F.sum((~F.col("must")).cast("int")).alias("shoulds"))
+    found = found.where((F.col("musts") == F.col("n_must")) & (F.col("shoulds") >= F.col("min_match")))
+    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["s"])
+    points = F.greatest(F.lit(0), F.least(F.lit(1000), (F.least(total, F.lit(100.0)) * 100).cast("int")))
+    ranked = found.select("task_id", "doc_id", points.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= top)
+    return ranked.join(documents.select("doc_id", "path"), "doc_id").select("task_id", "rank", "doc_id", "path", "score")
+
+
+def relaxed_tasks(tasks: DataFrame, ratio: float = 0.5, max_terms: int = 3) -> DataFrame:
+    """tasks(task_id, must) -> (task_id, must, should, min_match) by relaxation."""
+    must, should, need = relaxed_columns(T.plain_terms(F.col("must")), ratio, max_terms)
+    return tasks.select("task_id", must.alias("must"), should.alias("should"), need.alias("min_match"))
+
+
+def evaluate_tasks(documents: DataFrame, postings: DataFrame, tasks: DataFrame, ratio: float = 0.5, max_terms: int = 3, k: int = 10) -> DataFrame:
+    """tasks(task_id, must, gold_file, ...) -> each with its rank among k results of its relaxed query."""
+    return gold_rank(batch_search(documents, postings, relaxed_tasks(tasks, ratio, max_terms), k), tasks)
+
+
 # From ranked results to ranks.
 
 
@@ -202,6 +242,33 @@ def best_config(ranks: DataFrame, tasks: DataFrame, configs: DataFrame) -> DataF
     return rr.groupBy("cfg").agg(F.sum(F.col("mrr") * weight).alias("score")).orderBy(F.desc("score"), "cfg")
 
 
+def best_by_difficulty(ranks: DataFrame, tasks: DataFrame, configs: DataFrame) -> DataFrame:
+    """(difficulty, cfg, mrr): the first best configuration of each difficulty."""
+    every = tasks.select("task_id", "difficulty").join(F.broadcast(configs.select("cfg")))
+    rr = every.join(ranks, ["cfg", "task_id"], "left").groupBy("difficulty", "cfg").agg(F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0))).alias("mrr"))
+    return rr.groupBy("difficulty").agg(F.max_by(F.struct("cfg", "mrr"), F.struct("mrr", -F.col("cfg"))).alias("x")).select("difficulty", "x.cfg", "x.mrr")
+
+
+def end_to_end(runs: DataFrame) -> DataFrame:
+    """runs(stdout_bytes, first_ms) -> mean and total output, quantiles of the time to the first candidate."""
+    p = F.percentile(F.col("first_ms").cast("double"), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    out = runs.agg(F.count("*").alias("n"), F.avg("stdout_bytes").alias("mean_bytes"), F.sum("stdout_bytes").alias("total_bytes"), p.alias("p"))
+    return out.select("n", "mean_bytes", "total_bytes", *[F.get("p", F.lit(i)).alias(f"first_p{k}") for i, k in enumerate((50, 95, 99))])
+
+
+def timed(actions: dict, repeats: int = 3) -> list[dict]:
+    """name -> a function that runs an action; a row for each run, for quantiles() and confidence()."""
+    import time
+
+    out = []
+    for name, action in actions.items():
+        for k in range(repeats):
+            began = time.perf_counter()
+            action()
+            out.append({"metric": name, "repeat": k, "value": (time.perf_counter() - began) * 1000})
+    return out
+
+
 # Plain scans and checks of data sets.
 
 

@@ -436,6 +436,35 @@ def fairness(spark, sf_dir):
     return balance.prepare(files(spark, sf_dir))[2].select("bytes_min", "bytes_max", F.round("bytes_cv", 9).alias("bytes_cv"), F.round("max_deviation", 9).alias("max_deviation"))
 
 
+BATCH = f"""WITH {DOCS}, t AS (SELECT doc_id, path, {_tokens("text")} AS toks FROM d), st AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM t), x AS (SELECT doc_id, unnest(toks) AS term FROM t), p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM x GROUP BY ALL), f AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY 1),
+w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+|[0-9]+')[1:3] AS q FROM benchmark), h AS (SELECT item_id, q, CASE WHEN len(q) < 2 THEN len(q) ELSE greatest(1, floor(len(q) * 0.5)::INT) END AS k FROM w), a AS (SELECT item_id, k, len(q) AS nq, unnest(q) AS term, unnest(generate_series(1, len(q))) AS pos FROM h),
+s AS (SELECT a.item_id, p.doc_id, k, nq, pos, ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(toks) / avgdl))) * CASE WHEN pos <= k THEN 1 ELSE 0.5::DOUBLE END AS s FROM a JOIN p USING (term) JOIN f USING (term) JOIN t ON t.doc_id = p.doc_id CROSS JOIN st),
+g AS (SELECT item_id, doc_id, trunc(least(1000, sum(s ORDER BY pos) * 100))::INT AS score FROM s GROUP BY item_id, doc_id, k, nq HAVING sum((pos <= k)::INT) = k AND sum((pos > k)::INT) >= (nq > k)::INT),
+rk AS (SELECT item_id AS task_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, path, score FROM g JOIN t USING (doc_id))"""
+
+
+def _batch(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    tasks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.array("text").alias("must"))
+    lengths = I.measured(docs).select("doc_id", "path", "doc_length")
+    posts = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return lengths, posts, tasks
+
+
+@query(f"{BATCH} SELECT task_id, rank, doc_id, path, score FROM rk WHERE rank <= 10")
+def batch_search(spark, sf_dir):
+    lengths, posts, tasks = _batch(spark, sf_dir)
+    return evaluate.batch_search(lengths, posts, evaluate.relaxed_tasks(tasks), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"{BATCH}, e AS (SELECT item_id, min(rank) AS rank FROM (SELECT item_id, concat('doc_', item_id % 10) AS gold FROM benchmark) b LEFT JOIN rk ON rk.task_id = b.item_id AND rank <= 10 AND contains(path, gold) GROUP BY item_id) SELECT count(*) AS total, sum((rank IS NOT NULL)::INT)::BIGINT AS found, round(avg((rank IS NOT NULL)::INT), 9) AS recall, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM e")
+def evaluate_taskset(spark, sf_dir):
+    lengths, posts, tasks = _batch(spark, sf_dir)
+    gold = tasks.withColumn("gold_file", F.concat(F.lit("doc_"), (F.col("task_id") % 10).cast("string")))
+    out = evaluate.summary(evaluate.evaluate_tasks(lengths, posts, gold))
+    return out.withColumns({c: F.round(c, 9) for c in ("recall", "mrr")})
+
+
 # Comparisons, relaxation, grids, fits.
 
 RUNS = "r AS (SELECT event_id AS task_id, event_type AS tool, user_id % 3 <> 0 AS found, CASE WHEN user_id % 3 <> 0 THEN 1.0::DOUBLE / (user_id % 5 + 1) ELSE 0.0 END AS rr, value AS latency_ms, user_id % 1000 AS stdout_bytes FROM events)"

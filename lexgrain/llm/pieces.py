@@ -27,6 +27,13 @@ N_BEST = 4
 FOUND = "piece_ids array<int>, best_score double, alternatives array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
 CACHE = 1_200_000
 PENALTY = 10.0
+LONG_UNIT = 48
+BASE = np.uint64(0xD1342543DE82EF95)
+SLOT_BITS = 20
+
+
+def utf8_size(code: np.ndarray) -> np.ndarray:
+    return 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
 
 
 @dataclass
@@ -38,6 +45,7 @@ class Lattice:
     byte_score: float
     longest: int = field(init=False)
     lone: str = field(init=False)
+    table: tuple | None = field(init=False, default=None)
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
@@ -146,6 +154,108 @@ class Lattice:
             ids = array("i", chain.from_iterable([x] if isinstance(x, int) else [self.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")] for x in path))
         return ids, best[n], max(best[n] - second, 0.0)
 
+    def _table(self):
+        """Digests of all beginnings of pieces, a slot table over them, and each one's id (or -1) and score."""
+        if self.table is None:
+            found: dict[str, tuple[int, float]] = {}
+            for p, x in self.pieces.items():
+                for k in range(1, len(p)):
+                    found.setdefault(p[:k], (-1, 0.0))
+                found[p] = x
+            keys = np.zeros(len(found), np.uint64)
+            codes = [np.frombuffer(p.encode("utf-32-le"), "<u4") for p in found]
+            for k in range(self.longest):
+                here = np.array([len(c) > k for c in codes])
+                keys[here] = keys[here] * BASE + np.array([c[k] for c in codes if len(c) > k], np.uint64) + np.uint64(1)
+            order = np.argsort(keys)
+            keys = keys[order]
+            if (keys[1:] == keys[:-1]).any():
+                raise ValueError("two beginnings of pieces have one digest")
+            slots = np.full(1 << SLOT_BITS, -1, np.int32)
+            at = self._slot(keys)
+            slots[at] = np.arange(len(keys))
+            slots[at[np.bincount(at, minlength=len(slots))[at] > 1]] = -2  # several: look among the sorted digests
+            x = list(found.values())
+            self.table = keys, slots, np.array([i for i, _ in x], np.int32)[order], np.array([y for _, y in x])[order]
+        return self.table
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _all_edges(self, code: np.ndarray, end: np.ndarray):
+        """(start, length, id, score) of the edges of all places of many units at once, by start and length."""
+        keys, slots, ids, scores = self._table()
+        i, h, out = np.arange(len(code)), np.zeros(len(code), np.uint64), []
+        for length in range(1, self.longest + 1):
+            fits = i + length <= end[i]
+            i, h = i[fits], h[fits]
+            if not len(i):
+                break
+            h = h * BASE + code[i + length - 1] + np.uint64(1)
+            k = slots[self._slot(h)]
+            if (many := k == -2).any():
+                k[many] = np.minimum(np.searchsorted(keys, h[many]), len(keys) - 1)
+            good = (k >= 0) & (keys[k] == h)
+            if length == 1:
+                bare = np.ones(len(code), bool)
+                bare[i[good][ids[k[good]] >= 0]] = False
+            i, h, k = i[good], h[good], k[good]
+            own = ids[k] >= 0
+            out.append((i[own], np.full(own.sum(), length), ids[k[own]], scores[k[own]]))
+        bare = np.flatnonzero(bare)
+        out.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1, np.int32), self.byte_score * utf8_size(code[bare])))
+        start, length, found, score = (np.concatenate([x[k] for x in out]) for k in range(4))
+        order = np.argsort(start * 64 + length, kind="stable")
+        return start[order], length[order], found[order], score[order]
+
+    def first_two_of(self, units: list[str]):
+        """first_two() of many short units together: place by place over all of them."""
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        unit = np.repeat(np.arange(len(units)), size)
+        last = np.cumsum(size)
+        begin = last - size
+        start, length, found, score = self._all_edges(code, last[unit])
+        owner = unit[start]
+        a = start + owner  # nodes: each unit has one more than it has characters
+        b = a + length
+        step = start - begin[owner]
+        by_step = np.argsort(step, kind="stable")
+        cuts = np.searchsorted(step[by_step], np.arange(size.max() + 1))
+        best, back = np.full(len(code) + len(units), -np.inf), np.zeros(len(code) + len(units), np.int64)
+        best[begin + np.arange(len(units))] = 0.0
+        for k in range(size.max()):
+            e = by_step[cuts[k] : cuts[k + 1]]
+            through = best[a[e]] + score[e]
+            e, through = (x[m] for m in [through > best[b[e]]] for x in (e, through))
+            best[b[e]], back[b[e]] = through, e
+        final = last + np.arange(len(units))
+        behind = np.full(len(best), -np.inf)
+        behind[final] = 0.0
+        for k in range(size.max() - 1, -1, -1):
+            e = by_step[cuts[k] : cuts[k + 1]]
+            first = np.flatnonzero(np.diff(a[e], prepend=-1))
+            behind[a[e][first]] = np.maximum.reduceat(score[e] + behind[b[e]], first)
+        on, node, left = np.zeros(len(start), bool), final.copy(), np.arange(len(units))
+        while len(left):
+            e = back[node[left]]
+            on[e] = True
+            node[left] = a[e]
+            left = left[start[e] > begin[left]]
+        other = np.where(on, -np.inf, best[a] + score + behind[b])
+        second = np.maximum.reduceat(other, np.searchsorted(owner, np.arange(len(units))))
+        path = np.flatnonzero(on)
+        wide = np.where(found[path] >= 0, 1, utf8_size(code[start[path]]))
+        flat = np.repeat(found[path], wide)
+        for k, e in zip((np.cumsum(wide) - wide)[found[path] < 0].tolist(), path[found[path] < 0].tolist(), strict=True):
+            raw = chr(int(code[start[e]])).encode("utf-8", "surrogatepass")
+            flat[k : k + len(raw)] = [self.byte_ids[x] for x in raw]
+        stop = 4 * np.cumsum(np.bincount(owner[path], wide, len(units)).astype(np.int64))
+        raw = flat.astype(np.int32).tobytes()
+        ids = [raw[x:y] for x, y in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        return ids, best[final], np.maximum(best[final] - second, 0.0)
+
     def n_best(self, unit: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best paths, best first; A-star from the end, with the forward score as what is still to come."""
         edges = self.edges(unit)
@@ -193,21 +303,45 @@ class Encoder:
         if not text:
             return np.empty(0, np.int32), [(0.0, {})]
         units = self.units_of(text)
-        if len(self.known) > CACHE:
-            self._forget()
-        if len(self.lists) > CACHE >> 4:
-            self.lists.clear()
-        known = self.known
-        for u in set(units).difference(known):
+        try:
+            row = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        except KeyError:  # not prepared
+            self.learn(set(units).difference(self.known))
+            row = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        found = list(map(self.ids.__getitem__, row.tolist()))
+        total = float(np.frombuffer(self.best)[row].sum())
+        return np.frombuffer(b"".join(found), np.int32), self._exchanges(units, found, np.frombuffer(self.gap)[row], total)
+
+    def learn(self, units: set[str]):
+        short = [u for u in units if len(u) <= LONG_UNIT]
+        if len(short) >= 16:
+            ids, best, gap = self.lattice.first_two_of(short)
+            self.known.update(zip(short, range(len(self.ids), len(self.ids) + len(short)), strict=True))
+            self.ids += ids
+            self.best.frombytes(best.tobytes())
+            self.gap.frombytes(gap.tobytes())
+            units = units.difference(short)
+        for u in units:
             ids, best, gap = self.lattice.first_two(u)
-            known[u] = len(self.ids)
+            self.known[u] = len(self.ids)
             self.ids.append(ids.tobytes())
             self.best.append(best)
             self.gap.append(gap)
-        row = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-        found = list(map(self.ids.__getitem__, row.tolist()))
-        total = float(np.frombuffer(self.best)[row].sum())
-        return np.frombuffer(b"".join(found), np.int32), self._exchanges(units, found, np.frombuffer(self.gap)[row], total)
+
+    def prepare(self, texts) -> None:
+        """Learn what a batch of texts needs, all together; forget before it if too much is known."""
+        if len(self.known) > CACHE:
+            self._forget()
+        if len(self.lists) > CACHE >> 4:
+            self.lists.clear()
+        new: set[str] = set()
+        for t in texts:
+            if t:
+                new.update(self.units_of(t))
+            if len(new) > 200_000:
+                self.learn(new.difference(self.known))
+                new = set()
+        self.learn(new.difference(self.known))
 
     def units_of(self, text: str) -> list[str]:
         return self.lattice.units.findall(SPACE + text.replace(" ", SPACE))
@@ -275,7 +409,9 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text", do
     def run(batches):
         coder = Encoder(Lattice.load(model), n)
         for pdf in full(batches):
-            found = [coder.encode(t or "") for t in pdf.pop("__text")]
+            texts = pdf.pop("__text").tolist()
+            coder.prepare(texts)
+            found = [coder.encode(t or "") for t in texts]
             more = [[{"score": s, "edits": [{"at": k, "n": m, "ids": i} for k, (m, i) in sorted(e.items())]} for s, e in best[1:]] for _, best in found]
             yield pdf.assign(piece_ids=[ids for ids, _ in found], best_score=[best[0][0] for _, best in found], alternatives=more)
 
@@ -295,6 +431,7 @@ def digests(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text", do
         coder = Encoder(Lattice.load(model), n)
         for pdf in full(batches):
             out = []
+            coder.prepare(pdf["text"].tolist())
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids, best = coder.encode(t or "")
                 good = coder.decode(ids) == (t or "").replace(SPACE, " ")

@@ -15,18 +15,20 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexgrain.llm.scratch import Scratch, full
+from lexgrain.llm.scratch import Scratch, replaced
 
 SPACE = "▁"
 N_BEST = 4
 FOUND = "piece_ids array<int>, best_score double, alternatives array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
 CACHE = 1_200_000
 PENALTY = 10.0
+ALTERNATIVES = pa.list_(pa.struct({"score": pa.float64(), "edits": pa.list_(pa.struct({"at": pa.int32(), "n": pa.int32(), "ids": pa.list_(pa.int32())}))}))
+DIGESTS = {"n_pieces": pa.int64(), "best_score": pa.float64(), "n_segmentations": pa.int32(), "margin": pa.float64(), "ids_sha256": pa.string(), "round_trip": pa.bool_()}
 LONG_UNIT = 48
 BASE = np.uint64(0xD1342543DE82EF95)
 SLOT_BITS = 20
@@ -210,7 +212,7 @@ class Lattice:
         return start[order], length[order], found[order], score[order]
 
     def first_two_of(self, units: list[str]):
-        """first_two() of many short units together: place by place over all of them."""
+        """first_two() of many short units together, place by place over all of them: ids, how many of each unit, scores, gaps."""
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         size = np.fromiter(map(len, units), np.int64, len(units))
         unit = np.repeat(np.arange(len(units)), size)
@@ -251,10 +253,7 @@ class Lattice:
         for k, e in zip((np.cumsum(wide) - wide)[found[path] < 0].tolist(), path[found[path] < 0].tolist(), strict=True):
             raw = chr(int(code[start[e]])).encode("utf-8", "surrogatepass")
             flat[k : k + len(raw)] = [self.byte_ids[x] for x in raw]
-        stop = 4 * np.cumsum(np.bincount(owner[path], wide, len(units)).astype(np.int64))
-        raw = flat.astype(np.int32).tobytes()
-        ids = [raw[x:y] for x, y in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
-        return ids, best[final], np.maximum(best[final] - second, 0.0)
+        return flat.astype(np.int32), np.bincount(owner[path], wide, len(units)).astype(np.int64), best[final], np.maximum(best[final] - second, 0.0)
 
     def n_best(self, unit: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best paths, best first; A-star from the end, with the forward score as what is still to come."""
@@ -295,65 +294,91 @@ class Encoder:
 
     def _forget(self):
         self.known: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.best, self.gap = array("d"), array("d")
+        self.flat, self.many = np.empty(1 << 16, np.int32), 0  # ids of all known units, one after another
+        self.offset, self.size = array("q"), array("i")
+        self.best, self.gap, self.good = array("d"), array("d"), array("b")
 
-    def encode(self, text: str):
+    def encode(self, text: str, units: list[str] | None = None):
         """(ids, n best as (score, {unit's place in ids: (how many ids it replaces, ids)}), best first)."""
         if not text:
             return np.empty(0, np.int32), [(0.0, {})]
-        units = self.units_of(text)
+        units = units or self.units_of(text)
+        row = self._rows(units)
+        size = np.frombuffer(self.size, np.int32)[row]
+        end = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.repeat(np.frombuffer(self.offset, np.int64)[row] - end + size, size) + np.arange(end[-1])]
+        return ids, self._exchanges(units, end - size, size, np.frombuffer(self.gap)[row], float(np.frombuffer(self.best)[row].sum()))
+
+    def decodes(self, text: str, units: list[str] | None = None) -> bool:
+        """Whether the best ids decode to the text: each unit's ids were decoded when it was learned, and units are all of a text."""
+        if not text:
+            return True
+        units = units or self.units_of(text)
+        return bool(np.frombuffer(self.good, np.int8)[self._rows(units)].all()) and sum(map(len, units)) == len(text) + 1
+
+    def _rows(self, units: list[str]) -> np.ndarray:
         try:
-            row = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
         except KeyError:  # not prepared
             self.learn(set(units).difference(self.known))
-            row = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        found = list(map(self.ids.__getitem__, row.tolist()))
-        total = float(np.frombuffer(self.best)[row].sum())
-        return np.frombuffer(b"".join(found), np.int32), self._exchanges(units, found, np.frombuffer(self.gap)[row], total)
+            return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+    def _keep(self, units: list[str], ids: np.ndarray, size: np.ndarray, best: np.ndarray, gap: np.ndarray):
+        while self.many + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        self.flat[self.many : self.many + len(ids)] = ids
+        end = np.cumsum(size, dtype=np.int64)
+        names, listed = self.lattice.raw, ids.tolist()
+        spans = zip(units, (end - size).tolist(), end.tolist(), strict=True)
+        self.good.extend([b"".join(map(names.__getitem__, listed[x:y])) == u.encode("utf-8", "surrogatepass") for u, x, y in spans])
+        self.offset.frombytes((end - size + self.many).tobytes())
+        self.size.frombytes(size.astype(np.int32).tobytes())
+        self.best.frombytes(best.tobytes())
+        self.gap.frombytes(gap.tobytes())
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        self.many += len(ids)
 
     def learn(self, units: set[str]):
         short = [u for u in units if len(u) <= LONG_UNIT]
         if len(short) >= 16:
-            ids, best, gap = self.lattice.first_two_of(short)
-            self.known.update(zip(short, range(len(self.ids), len(self.ids) + len(short)), strict=True))
-            self.ids += ids
-            self.best.frombytes(best.tobytes())
-            self.gap.frombytes(gap.tobytes())
+            self._keep(short, *self.lattice.first_two_of(short))
             units = units.difference(short)
         for u in units:
             ids, best, gap = self.lattice.first_two(u)
-            self.known[u] = len(self.ids)
-            self.ids.append(ids.tobytes())
-            self.best.append(best)
-            self.gap.append(gap)
+            self._keep([u], np.frombuffer(ids, np.int32), np.array([len(ids)]), np.array([best]), np.array([gap]))
+
+    def prepare(self, texts) -> list[list[str] | None]:
+        """Learn what a batch of texts needs, all together; forget before it if too much is known.
 
-    def prepare(self, texts) -> None:
-        """Learn what a batch of texts needs, all together; forget before it if too much is known."""
+        Returns the units of the texts, of a million units in all at most; None for the others.
+        """
         if len(self.known) > CACHE:
             self._forget()
         if len(self.lists) > CACHE >> 4:
             self.lists.clear()
         new: set[str] = set()
+        out, held = [], 0
         for t in texts:
-            if t:
-                new.update(self.units_of(t))
+            units = self.units_of(t) if t else []
+            new.update(units)
+            held += len(units)
+            out.append(units if held <= 1 << 20 else None)
             if len(new) > 200_000:
                 self.learn(new.difference(self.known))
                 new = set()
         self.learn(new.difference(self.known))
+        return out
 
     def units_of(self, text: str) -> list[str]:
         return self.lattice.units.findall(SPACE + text.replace(" ", SPACE))
 
-    def _exchanges(self, units, found, gap, total):
+    def _exchanges(self, units, begin, size, gap, total):
         worst = np.partition(gap, self.n - 2)[self.n - 2] if len(gap) >= self.n > 1 else np.inf
         near = np.flatnonzero(gap <= worst)
         few = np.sort(near[np.argsort(gap[near], kind="stable")[: self.n - 1]])
         few = [int(k) for k in few if np.isfinite(gap[k])]
         if not few:
             return [(total, {})]
-        size = np.cumsum(np.fromiter(chain((0,), map(len, found)), np.int64, len(found) + 1)) // 4
         lists = []
         for k in few:
             if units[k] not in self.lists:
@@ -362,7 +387,7 @@ class Encoder:
         out, seen, heap = [], {(0,) * len(few)}, [(0.0, (0,) * len(few))]
         while heap and len(out) < self.n:
             loss, pick = heapq.heappop(heap)
-            out.append((total - loss, {int(size[few[j]]): (len(found[few[j]]) // 4, lists[j][c][1]) for j, c in enumerate(pick) if c}))
+            out.append((total - loss, {int(begin[few[j]]): (int(size[few[j]]), lists[j][c][1]) for j, c in enumerate(pick) if c}))
             for j, c in enumerate(pick):
                 if c + 1 < len(lists[j]):
                     new = (*pick[:j], c + 1, *pick[j + 1 :])
@@ -408,14 +433,15 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text", do
 
     def run(batches):
         coder = Encoder(Lattice.load(model), n)
-        for pdf in full(batches):
-            texts = pdf.pop("__text").tolist()
-            coder.prepare(texts)
-            found = [coder.encode(t or "") for t in texts]
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            found = [coder.encode(t or "", u) for t, u in zip(texts, coder.prepare(texts), strict=True)]
             more = [[{"score": s, "edits": [{"at": k, "n": m, "ids": i} for k, (m, i) in sorted(e.items())]} for s, e in best[1:]] for _, best in found]
-            yield pdf.assign(piece_ids=[ids for ids, _ in found], best_score=[best[0][0] for _, best in found], alternatives=more)
+            size = np.cumsum([0] + [len(ids) for ids, _ in found]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([np.empty(0, np.int32), *[ids for ids, _ in found]])))
+            yield replaced(batch, ("__text",), {"piece_ids": ids, "best_score": pa.array([best[0][0] for _, best in found], pa.float64()), "alternatives": pa.array(more, ALTERNATIVES)})
 
-    return source.mapInPandas(run, shape)
+    return source.mapInArrow(run, shape)
 
 
 def digests(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -429,18 +455,17 @@ def digests(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text", do
 
     def run(batches):
         coder = Encoder(Lattice.load(model), n)
-        for pdf in full(batches):
+        for batch in batches:
             out = []
-            coder.prepare(pdf["text"].tolist())
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids, best = coder.encode(t or "")
-                good = coder.decode(ids) == (t or "").replace(SPACE, " ")
+            texts = batch.column("text").to_pylist()
+            for t, units in zip(texts, coder.prepare(texts), strict=True):
+                ids, best = coder.encode(t or "", units)
+                good = coder.decodes(t or "", units)
                 for _, edits in best[1:]:
                     for at, (m, new) in edits.items():  # one exchange alters its own unit only
                         good &= coder.unit_text(ids[at : at + m]) == coder.unit_text(new)
-                out.append((i, len(ids), best[0][0], len(best), best[0][0] - best[1][0] if len(best) > 1 else None, hashlib.sha256(ids.tobytes()).hexdigest(), bool(good)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_pieces", "best_score", "n_segmentations", "margin", "ids_sha256", "round_trip"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                out.append((len(ids), best[0][0], len(best), best[0][0] - best[1][0] if len(best) > 1 else None, hashlib.sha256(ids.tobytes()).hexdigest(), bool(good)))
+            yield replaced(batch, ("text",), {n: pa.array([x[k] for x in out], kind) for k, (n, kind) in enumerate(DIGESTS.items())})
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, n_pieces long, best_score double, n_segmentations int, margin double, ids_sha256 string, round_trip boolean")
+    return source.mapInArrow(run, "doc_id long, n_pieces long, best_score double, n_segmentations int, margin double, ids_sha256 string, round_trip boolean")

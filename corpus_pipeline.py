@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.llm import language_id, mixing, pieces, simhash, substrings
 from lexgrain.llm.queries import tokenizer_file
-from lexgrain.llm.scratch import Scratch, full
+from lexgrain.llm.scratch import Scratch, replaced
 
 #: Below this calibrated probability no language is accepted; four guesses in the dark have 0.25.
 LEAST_SCORE = 0.3
@@ -44,11 +45,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shape = docs.schema
 
     def cut(batches):
-        for pdf in full(batches):
-            text = [substrings.cut_text(t, s) if t is not None else None for t, s in zip(pdf["text"], pdf.pop("__starts"), strict=True)]
-            yield pdf.assign(text=text)[shape.names]
+        for batch in batches:
+            both = zip(batch.column("text").to_pylist(), batch.column("__starts").to_pylist(), strict=True)
+            text = pa.array([substrings.cut_text(t, s) if t is not None else None for t, s in both], pa.string())
+            yield replaced(batch, ("__starts",), {"text": text})
 
-    out = marked.mapInPandas(cut, shape)
+    out = marked.mapInArrow(cut, shape)
     out = out.withColumn("n_chars", F.length("text").cast(shape["n_chars"].dataType)) if "n_chars" in shape.names else out
     return out.where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
 

@@ -12,11 +12,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.llm.components import connected_components
-from lexgrain.llm.scratch import Scratch, full, partitions
+from lexgrain.llm.scratch import Scratch, full, partitions, replaced
 from lexgrain.llm.simhash import _union
 
 THRESHOLD = 0.98
@@ -39,11 +40,11 @@ def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     """
 
     def run(batches):
-        for pdf in full(batches):
+        for batch in batches:
             keys, spaces, blobs = [], [], []
-            for i, e, name in zip(pdf["vec_id"], pdf["embedding"], pdf["label"], strict=True):
+            for i, e, name in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "embedding", "label")), strict=True):
                 key = space = blob = None
-                if e is not None and name is not None and not pd.isna(i) and len(e):
+                if e is not None and name is not None and i is not None and len(e):
                     x = np.array([np.nan if v is None else v for v in e], np.float64) + 0.0  # no negative zeros
                     if np.isfinite(x).all() and np.isfinite(norm := float(x @ x)) and norm > 0:
                         space, blob = f"{len(x)} {name}", x.tobytes()
@@ -51,10 +52,10 @@ def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
                 keys.append(key)
                 spaces.append(space)
                 blobs.append(blob)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].astype("Int64"), "key": keys, "space": spaces, "blob": blobs})
+            yield replaced(batch, ("embedding", "label"), {"key": pa.array(keys, pa.binary()), "space": pa.array(spaces, pa.string()), "blob": pa.array(blobs, pa.binary())})
 
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
-    return source.mapInPandas(run, "vec_id long, key binary, space string, blob binary")
+    return source.mapInArrow(run, "vec_id long, key binary, space string, blob binary")
 
 
 def signs(blobs, turn: int, bits: int = BITS) -> np.ndarray:

@@ -15,10 +15,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.llm.scratch import Scratch, full
+from lexgrain.llm.scratch import Scratch, full, replaced
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -302,9 +303,9 @@ def main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", ur
 
     def run(batches):
         tree = Tree(shared.value)
-        for pdf in full(batches):
-            text = [tree.extract(page) for page in pdf.pop("html")]
-            yield pdf.assign(text=text, n_chars=[len(t) for t in text])
+        for batch in batches:
+            text = [tree.extract(page) for page in batch.column("html").to_pylist()]
+            yield replaced(batch, ("html",), {"text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())})
 
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
-    return source.mapInPandas(run, source.drop("html").schema.add("text", "string").add("n_chars", "long"))
+    return source.mapInArrow(run, source.drop("html").schema.add("text", "string").add("n_chars", "long"))

@@ -8,10 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.llm.scratch import Scratch, full
+from lexgrain.llm.scratch import Scratch, full, replaced
 
 BINS = 1 << 15
 NGRAMS = (1, 2, 3)
@@ -188,11 +189,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     shape = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        for pdf in full(batches):
-            found = [shared.value.predict(t) for t in pdf.pop("__text")]
-            yield pdf.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+        for batch in batches:
+            found = [shared.value.predict(t) for t in batch.column("__text").to_pylist()]
+            yield replaced(batch, ("__text",), {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
 
-    return source.mapInPandas(run, shape)
+    return source.mapInArrow(run, shape)
 
 
 def fold(doc_id: str, parts: int):

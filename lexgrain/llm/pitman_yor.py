@@ -173,7 +173,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def ask(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(doc_id, held, text) -> rows (kind, batch, bucket, blob, more).
+    """docs(doc_id, none, held, text) -> rows (kind, batch, bucket, blob, more).
 
     kind 0: a batch's documents, with each token as the place of its word in the batch's list.
     kind 1: the part of that list in one bucket, with the words' training counts.
@@ -208,10 +208,10 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
             return pd.DataFrame(rows, columns=["kind", "batch", "bucket", "blob", "more"])
 
         for pdf in batches:
-            for i, h, t in zip(pdf["doc_id"], pdf["held"], pdf["text"], strict=True):
+            for i, none, h, t in zip(pdf["doc_id"].tolist(), pdf["none"], pdf["held"], pdf["text"], strict=True):
                 words = [*(t or "").encode("utf-8", "surrogatepass").lower().split(), END]
                 for k in range(0, len(words), BATCH_WORDS):
-                    held.append(((task << 40) + row, None if pd.isna(i) else int(i), bool(h), words[k : k + BATCH_WORDS]))
+                    held.append(((task << 40) + row, None if none else i, bool(h), words[k : k + BATCH_WORDS]))
                     total += len(held[-1][3])
                     if total >= BATCH_WORDS:
                         yield flush()
@@ -373,7 +373,7 @@ def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, tex
     spark = docs.sparkSession
     scratch, buckets = Scratch(spark, "pitman-yor"), partitions(spark)
     held = F.coalesce(fold(doc_id, 10) == 0, F.lit(True)) if held is None else held
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(doc_id).isNull().alias("none"), held.alias("held"), F.col(text).cast("string").alias("text"))
     batches = scratch.save(ask(source, buckets), "batches")
     asks = batches.where("kind = 1")
     vocab = scratch.save(vocabulary(asks, buckets), "words-0")

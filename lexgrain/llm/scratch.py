@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
@@ -55,5 +56,11 @@ def full(batches):
     return (b for b in batches if len(b))
 
 
+def replaced(batch: pa.RecordBatch, drop: tuple[str, ...], new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch without some columns and with new ones; the others pass as they are, whatever their types and nulls."""
+    kept = {name: batch.column(k) for k, name in enumerate(batch.schema.names) if name not in drop} | new
+    return pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,12 +6,13 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.llm.components import connected_components
-from lexgrain.llm.scratch import Scratch, partitions
+from lexgrain.llm.scratch import Scratch, partitions, replaced
 
 SHINGLE = 4
 DISTANCE = 4
@@ -42,12 +43,12 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """(doc_id, fp) for each row; a null text counts as empty and gets zero."""
 
     def run(batches):
-        for pdf in batches:
-            fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+        for batch in batches:
+            fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            yield replaced(batch, ("text",), {"fp": pa.array(fp.view(np.int64))})
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, fp long")
+    return source.mapInArrow(run, "doc_id long, fp long")
 
 
 def block_keys(fp: Column, blocks: int = BLOCKS, distance: int = DISTANCE) -> Column:

@@ -17,10 +17,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.llm.scratch import Scratch, full, partitions
+from lexgrain.llm.scratch import Scratch, full, partitions, replaced
 
 WINDOW = 20
 ROUNDS = 5
@@ -358,17 +359,17 @@ def kept_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", widt
     starts = repeated_windows(rows, scratch, width, rounds)
 
     def digest(batches):
-        for pdf in full(batches):
+        for batch in batches:
             out = []
-            for i, t, s in zip(pdf["raw_id"], pdf["text"], pdf["starts"], strict=True):
+            for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = words_of(t)
                 gone = removed(len(words), s, width)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if s else words
-                out.append((i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            new = {n: pa.array([x[k] for x in out], kind) for k, (n, kind) in enumerate({"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}.items())}
+            yield replaced(batch, ("text", "starts"), new)
 
-    return rows.join(starts, ["doc_id", "mark"], "left").select("raw_id", "text", "starts").mapInPandas(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.join(starts, ["doc_id", "mark"], "left").select(F.col("raw_id").alias("doc_id"), "text", "starts").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: str, starts: bytes | None, width: int = WINDOW) -> str:

@@ -38,7 +38,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 def measured(docs: DataFrame) -> DataFrame:
     """What needs no exchange: lines, line_count, size_bytes, doc_length, content_hash."""
     out = docs.withColumn("lines", T.lines(F.col("text")))
-    return out.withColumns({"line_count": F.size("lines"), "size_bytes": F.octet_length("text").cast("long"), "doc_length": F.size(T.tokens(F.col("text"))).cast("long"), "content_hash": T.content_hash(F.col("text"))})
+    return out.withColumns({"line_count": F.size("lines"), "size_bytes": F.octet_length("text").cast("long"), "doc_length": F.size(T.raw_tokens(F.col("text"))).cast("long"), "content_hash": T.content_hash(F.col("text"))})
 
 
 def documents(docs: DataFrame, parse: bool = True) -> DataFrame:
@@ -48,8 +48,11 @@ def documents(docs: DataFrame, parse: bool = True) -> DataFrame:
 def occurrences(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """(doc_id, term, line) of each token, or of the given terms only: those reach an exchange, the rest never do."""
     split = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line", "__line"))
-    out = split.select("doc_id", F.explode(T.tokens(F.col("__line"))).alias("term"), (F.col("line") + 1).alias("line"))
-    return out if terms is None else out.where(F.col("term").isin(list(terms)))
+    found = T.tokens(F.col("__line"))
+    if terms is not None:
+        wanted = list(terms)
+        found = F.filter(found, lambda x: x.isin(wanted))  # before the row of each token is made
+    return split.select("doc_id", F.explode(found).alias("term"), (F.col("line") + 1).alias("line"))
 
 
 def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:

@@ -26,23 +26,28 @@ def pair(starts: Column, ends: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
 
 
-def _places(lines: Column, test) -> Column:
-    """1-based places of the lines that pass test(line, index)."""
-    marked = F.transform(lines, lambda x, i: F.when(test(x, i), i + 1))
+def _places(flags: Column, test=lambda x, i: x) -> Column:
+    """1-based places of the elements that pass test(element, index)."""
+    marked = F.transform(flags, lambda x, i: F.when(test(x, i), i + 1))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
-def blank_line_blocks(lines: Column) -> Column:
-    """Maximal runs of lines that are not blank; the whole file where there is none. lines: a column by name, not an expression."""
-    full = lambda i: F.coalesce(F.get(lines, i).rlike(r"\S"), F.lit(False))
-    starts = _places(lines, lambda x, i: full(i) & ~full(i - 1))
-    ends = _places(lines, lambda x, i: full(i) & ~full(i + 1))
-    return F.when(F.size(starts) > 0, pair(starts, ends)).otherwise(whole(F.size(lines)))
+def full_lines(lines: Column) -> Column:
+    """Which lines are not blank."""
+    return F.transform(lines, lambda x: x.rlike(r"\S"))
+
+
+def blank_line_blocks(full: Column) -> Column:
+    """Maximal runs of full lines; the whole file where there is none. full: full_lines() as a column by name."""
+    near = lambda i: F.coalesce(F.get(full, i), F.lit(False))
+    starts = _places(full, lambda x, i: x & ~near(i - 1))
+    ends = _places(full, lambda x, i: x & ~near(i + 1))
+    return F.when(F.size(starts) > 0, pair(starts, ends)).otherwise(whole(F.size(full)))
 
 
 def declared_symbols(lines: Column) -> Column:
     """From each declaration to the line before the next, the last to the end; empty where there is none."""
-    starts = _places(lines, lambda x, i: T.is_declaration(x))
+    starts = _places(F.transform(lines, lambda x: T.is_declaration(x)))
     ends = F.concat(F.transform(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda s: s - 1), F.array(F.size(lines)))
     return F.when(F.size(starts) > 0, pair(starts, ends)).otherwise(F.array().cast(REGIONS))
 
@@ -114,17 +119,17 @@ def with_regions(docs, parse: bool = True):
     languages by braces, else blank-line blocks; others blank-line blocks. Symbols: Python's functions and
     classes, or its blocks; others by declaration, or their blocks. parse=False leaves Python out.
     """
-    out = docs.withColumn("__blank", blank_line_blocks(F.col("lines"))).withColumn("__named", declared_symbols(F.col("lines")))
+    out = docs.withColumn("__full", full_lines(F.col("lines"))).withColumn("__blank", blank_line_blocks(F.col("__full"))).withColumn("__named", declared_symbols(F.col("lines")))
     n = F.col("line_count")
     if not parse:
-        return out.withColumn("block_regions", F.col("__blank")).withColumn("symbol_regions", first_of(F.col("__named"), F.col("__blank"))).drop("__blank", "__named")
+        return out.withColumn("block_regions", F.col("__blank")).withColumn("symbol_regions", first_of(F.col("__named"), F.col("__blank"))).drop("__full", "__blank", "__named")
     lang = F.coalesce("lang", F.lit(""))
     code = lang.isin("python", *BRACED)
     out = out.withColumn("__parsed", F.when(code, parsed_regions(F.when(code, F.col("text")), F.when(code, lang))))
     block = first_of(normalized(F.col("__parsed.block"), n), F.col("__blank"))
     named = F.when(lang == "python", normalized(F.col("__parsed.symbol"), n)).otherwise(F.col("__named"))
     out = out.withColumn("block_regions", block).withColumn("symbol_regions", first_of(named, F.col("block_regions")))
-    return out.drop("__blank", "__named", "__parsed")
+    return out.drop("__full", "__blank", "__named", "__parsed")
 
 
 def scope_regions(scope: str, block: Column, symbol: Column, line_count: Column) -> Column:

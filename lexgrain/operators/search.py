@@ -183,7 +183,7 @@ class Search:
         The small projection is kept, as it is read for the statistics and for the ranking.
         """
         terms = query.terms()
-        rows = I.measured(docs).withColumn("__tokens", T.tokens(F.col("text")))
+        rows = I.measured(docs).withColumn("__tokens", T.tokens(F.col("text"))).withColumn("doc_length", F.size("__tokens").cast("long"))
         places = bool(query.near or query.symbol)
         rows = rows.withColumns({f"tf_{i}": count_of("__tokens", t) for i, t in enumerate(terms)})
         if places:

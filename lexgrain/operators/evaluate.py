@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as T
-from lexgrain.operators.index import K1, B
-from lexgrain.operators.search import SHOULD_BOOST, Query
+from lexgrain.operators.index import K1, B, Index
+from lexgrain.operators.search import SHOULD_BOOST, Query, Search, SymbolWeights
 
 DIFFICULTY_WEIGHT = {"easy": 1.0, "medium": 1.5, "hard": 2.0}
 
@@ -94,6 +94,22 @@ def evaluate_tasks(documents: DataFrame, postings: DataFrame, tasks: DataFrame,
     return gold_rank(batch_search(documents, postings, relaxed_tasks(tasks, ratio, max_terms), k), tasks)
 
 
+def run_ablation(index: Index, tasks: list[dict], k: int = 10, weights: SymbolWeights | None = None) -> DataFrame:
+    """tasks(id, must, symbols, gold_file) under each variant: (variant, recall, mrr) and the differences to plain BM25."""
+    parts, gold = [], []
+    for t in tasks:
+        for name, q in ablation_variants(harness_terms(t["must"]), t["symbols"]).items():
+            found = Search.indexed(index, q, weights=weights).ranked(k)
+            order = Window.orderBy(F.desc("score"), "doc_id")  # k rows
+            parts.append(found.select(F.lit(f"{name}/{t['id']}").alias("task_id"), F.row_number().over(order).alias("rank"), "path"))
+            gold.append((f"{name}/{t['id']}", name, t["gold_file"]))
+    results = parts[0]
+    for p in parts[1:]:
+        results = results.unionByName(p)
+    every = index.documents.sparkSession.createDataFrame(gold, "task_id string, variant string, gold_file string")
+    return deltas(summary(gold_rank(results, every), "variant").select("variant", "recall", "mrr"))
+
+
 # From ranked results to ranks.
 
 

@@ -7,12 +7,35 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.operators.search import SymbolWeights
+from lexgrain.operators.evaluate import harness_terms
+from lexgrain.operators.index import Index
+from lexgrain.operators.search import Query, Search, SymbolWeights
 
 L2_CHOICES = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 STEPS, RATE, DECAY, LEAST_UPDATE = 2000, 0.4, 0.01, 1e-7
 
 
+def collect_samples(index: Index, tasks: list[dict], top: int = 50) -> DataFrame:
+    """Samples from tasks(id, repo, must, symbol, gold_file) of an index: the top results without the symbol, its evidence in each.
+
+    One plan for each task, joined to one: task sets are a few dozen.
+    """
+    out = None
+    for t in tasks:
+        terms = harness_terms(t["must"])
+        plain, whole = Query.of(must=terms), Query.of(must=terms, symbol=t["symbol"])
+        if not whole.symbol:
+            continue
+        found = Search.indexed(index, whole)
+        found.query = plain
+        best = F.greatest(F.lit(0.0), *[found.evidence(s) for s in whole.symbol])
+        rows = found.ranked(top, evidence=best).select(F.lit(t["id"]).alias("task_id"), F.lit(t["repo"]).alias("repo"), "lang", "path", "score", "evidence", F.lit(t["gold_file"]).alias("gold_file"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no task has a symbol")
+    return samples(out)
+
+
 def samples(ranked: DataFrame, gold: str = "gold_file") -> DataFrame:
     """ranked(task_id, repo, lang, path, score, evidence, gold_file) -> samples of the tasks that found their gold file."""
     hit = F.col("path").contains(F.col(gold)) & (F.col(gold) != "")

@@ -277,8 +277,8 @@ class Search:
             tests.append(any_of([F.replace("path", F.lit("\\"), F.lit("/")).startswith(p) for p in q.path_prefix]))
         return all_of(tests)
 
-    def scored(self) -> DataFrame:
-        """doc_id, path, raw, score, line_count, content_hash of all matches, not yet ranked.
+    def scored(self, **more: Column) -> DataFrame:
+        """doc_id, path, raw, score, line_count, content_hash of all matches, not yet ranked, and more columns of the features.
 
         Score is 100 times the sum, cut toward zero and kept within 0 to 1000.
         """
@@ -300,10 +300,10 @@ class Search:
         for clause in q.near:
             is_in = is_in & self.is_near(clause)
         cut = F.greatest(F.lit(0), F.least(F.lit(1000), F.least(F.greatest(score * 100, F.lit(-1.0)), F.lit(1001.0)).cast("int")))
-        return self.features.where(is_in).select("doc_id", "path", "lang", score.alias("raw"), cut.alias("score"), "line_count", "content_hash")
+        return self.features.where(is_in).select("doc_id", "path", "lang", score.alias("raw"), cut.alias("score"), "line_count", "content_hash", *[c.alias(k) for k, c in more.items()])
 
-    def ranked(self, limit: int | None = None, offset: int = 0) -> DataFrame:
-        out = self.scored().orderBy(F.desc("score"), "doc_id")
+    def ranked(self, limit: int | None = None, offset: int = 0, **more: Column) -> DataFrame:
+        out = self.scored(**more).orderBy(F.desc("score"), "doc_id")
         return out if limit is None else out.offset(offset).limit(limit) if offset else out.limit(limit)
 
 

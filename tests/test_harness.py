@@ -142,3 +142,17 @@ def test_streaming(spark, tmp_path):
     q = incremental.term_counts(stream).writeStream.format("memory").queryName("terms").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.term: (r.df, r.tf) for r in spark.table("terms").collect()} == {"alpha": (2, 2), "beta": (1, 1)}
+
+
+def test_ablation_and_samples_from_an_index(spark):
+    files = [(f"src/f{i}.py", f"def parse_args{i % 2}():\n    alpha beta\n" if i % 3 else "alpha parse args\n", "python") for i in range(9)]
+    ix = Index.build(spark.createDataFrame(files, "path string, content string, lang string"))
+    tasks = [{"id": "t1", "repo": "r", "must": ["alpha beta"], "symbol": ["parse_args"], "symbols": ["parse_args"], "gold_file": "f1.py"}, {"id": "t2", "repo": "s", "must": ["alpha"], "symbol": ["parse_args"], "symbols": [], "gold_file": "f0.py"}]
+    out = {r.variant: r for r in evaluate.run_ablation(ix, tasks).collect()}
+    assert set(out) == {"bm25_only", "plus_symbol", "plus_near", "plus_prior"} and out["bm25_only"].recall == 1.0 and out["bm25_only"].mrr_delta == 0.0
+    rows = fit.collect_samples(ix, tasks).collect()
+    assert {r.repo for r in rows} == {"r", "s"} and {r.evidence for r in rows} == {1.0} and sum(r.label for r in rows) == 2
+    from lexgrain.sources import config
+
+    c = config.derived(config.DEFAULT | {"repositories": [{"id": "fd"}]}, "/x/", True)
+    assert config.repositories(spark, c).first().source == "/x/balanced/fd"

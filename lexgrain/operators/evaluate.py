@@ -227,14 +227,19 @@ def search_grid() -> list[dict]:
     return [{"cfg": i} | c for i, c in enumerate(out)]
 
 
+def each_config(rows: DataFrame, configs: DataFrame) -> DataFrame:
+    """A row for each of a few hundred configurations, made from a literal list in place of a join."""
+    some = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in configs.dtypes]) for r in configs.collect()]
+    return rows.withColumn("__c", F.explode(F.array(*some))).select(*rows.columns, "__c.*")
+
+
 def grid_scores(features: DataFrame, tasks: DataFrame, configs: DataFrame, top: int = 10) -> DataFrame:
     """Ranks of the gold document of each task under each configuration, all at once.
 
     features(task_id, doc_id, term_no, tf, df, doc_length, n, avg): the postings of the tasks' terms, so a
-    row for each term of a task in a document. configs is small and is joined to them by broadcast; its
-    size is that of the grid, not of the data. tasks(task_id, difficulty, gold_doc).
+    row for each term of a task in a document. tasks(task_id, difficulty, gold_doc).
     """
-    few = features.join(F.broadcast(configs), F.col("term_no") <= F.col("max_terms"))
+    few = each_config(features, configs).where(F.col("term_no") <= F.col("max_terms"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     tf = F.col("tf").cast("double")
     score = idf * (tf * (F.col("k1") + 1.0) / (tf + F.col("k1") * (1.0 - F.col("b") + F.col("b") * F.col("doc_length") / F.col("avg"))))
@@ -252,7 +257,7 @@ def grid_scores(features: DataFrame, tasks: DataFrame, configs: DataFrame, top:
 
 def best_config(ranks: DataFrame, tasks: DataFrame, configs: DataFrame) -> DataFrame:
     """Per configuration the weighted sum of the difficulties' MRR; the first best comes first."""
-    every = tasks.select("task_id", "difficulty").join(F.broadcast(configs.select("cfg")))
+    every = each_config(tasks.select("task_id", "difficulty"), configs.select("cfg"))
     rr = every.join(ranks, ["cfg", "task_id"], "left").groupBy("cfg", "difficulty").agg(F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0))).alias("mrr"))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in DIFFICULTY_WEIGHT.items() for x in kv]), F.col("difficulty"))
     return rr.groupBy("cfg").agg(F.sum(F.col("mrr") * weight).alias("score")).orderBy(F.desc("score"), "cfg")
@@ -260,7 +265,7 @@ def best_config(ranks: DataFrame, tasks: DataFrame, configs: DataFrame) -> DataF
 
 def best_by_difficulty(ranks: DataFrame, tasks: DataFrame, configs: DataFrame) -> DataFrame:
     """(difficulty, cfg, mrr): the first best configuration of each difficulty."""
-    every = tasks.select("task_id", "difficulty").join(F.broadcast(configs.select("cfg")))
+    every = each_config(tasks.select("task_id", "difficulty"), configs.select("cfg"))
     rr = every.join(ranks, ["cfg", "task_id"], "left").groupBy("difficulty", "cfg").agg(F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0))).alias("mrr"))
     return rr.groupBy("difficulty").agg(F.max_by(F.struct("cfg", "mrr"), F.struct("mrr", -F.col("cfg"))).alias("x")).select("difficulty", "x.cfg", "x.mrr")
 

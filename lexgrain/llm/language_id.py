@@ -141,7 +141,7 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
                 total[idx] += 1
                 n += 1
                 if pick:
-                    picked.append((lang, bool(held), 0, idx.astype("<u4").tobytes() + counts[idx].astype("<u4").tobytes()))
+                    picked.append((lang, bool(held), 0, zlib.compress(idx.astype("<u4").tobytes() + counts[idx].astype("<f4").tobytes(), 1)))
             if picked:
                 yield pd.DataFrame(picked, columns=["lang", "held", "n", "blob"])
         yield pd.DataFrame({"lang": [None], "held": [False], "n": [n], "blob": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
@@ -163,13 +163,20 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
     for row in sums.repartition(fan).mapInPandas(add, shape).coalesce(1).mapInPandas(add, shape).collect():
         df, n = df + np.frombuffer(zlib.decompress(row.blob), "<i8"), n + row.n
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = [(r.lang, r.held, *np.frombuffer(r.blob, "<u4").reshape(2, -1).astype(np.int64)) for r in seen.where("lang is not null").orderBy("lang", F.xxhash64("blob")).collect()]
+    sample = []
+    for r in seen.where("lang is not null").orderBy("lang", F.xxhash64("blob")).collect():  # some 4,000 rows
+        raw = zlib.decompress(r.blob)
+        idx = np.frombuffer(raw, "<u4", len(raw) // 8).astype(np.int32)
+        sample.append((r.lang, r.held, idx, weighted(idx, np.frombuffer(raw, "<f4", len(idx), 4 * len(idx)), idf).astype(np.float32)))
     names = sorted({s[0] for s in sample})
     if not names:
         return Model([], idf, np.zeros((bins, 0)), np.zeros(0), 1.0)
-    x = [(i, weighted(i, c, idf)) for _, _, i, c in sample]
+    # Two large arrays instead of thousands of small ones, so that the driver gives their memory back.
+    cuts = np.cumsum([len(s[2]) for s in sample])[:-1]
+    x = list(zip(np.split(np.concatenate([s[2] for s in sample]), cuts), np.split(np.concatenate([s[3] for s in sample]), cuts), strict=True))
     y = np.array([names.index(s[0]) for s in sample])
     held = np.array([s[1] for s in sample])
+    del sample
     if held.all() or not held.any():
         held[:] = False
     learn = np.flatnonzero(~held)

@@ -25,7 +25,7 @@ from lexgrain.llm.scratch import Scratch, full, partitions, replaced
 
 WINDOW = 20
 ROUNDS = 5
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 19
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 

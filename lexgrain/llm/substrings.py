@@ -328,6 +328,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rou
         yield from kept
 
     found = scratch.save(dealt.mapInPandas(compare_or_pass, shape).select("bucket", "blob"), "found")
+    scratch.drop(shuffles=True)  # the windows are compared: their shuffle need not wait on disk for the texts
     return found.repartitionById(groups, at).mapInPandas(gather, "doc_id long, mark long, starts binary")
 
 

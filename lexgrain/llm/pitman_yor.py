@@ -1,15 +1,17 @@
 """Language-model scores by a hierarchical Pitman-Yor model of words and their spelling.
 
-The word restaurant has every training token as a customer. Its tables are draws from a spelling model:
-restaurants of contexts of three, two, one and no preceding byte classes, each the child of the next
-shorter one, above a uniform base. Seatings are sampled by blocked Gibbs sweeps: tables of words given
-the spelling, spelling given the tables. Scores use predictive probabilities averaged over the seatings
-after the first. As in the base score, all words that training has not seen are one type of the
-distribution; it gets the mass of new tables that singletons say goes to new words, and known words
-share the rest of that mass by their spelling. open_score also spells out the unknown words.
+Each word has a restaurant of the words that follow it; their tables are customers of the word restaurant,
+which a text's first word and its end enter without a context. The tables of that one are draws from a
+spelling model: restaurants of contexts of three, two, one and no preceding byte classes, each the child of
+the next shorter one, above a uniform base. Seatings are sampled by blocked Gibbs sweeps: tables of pairs
+given the words, of words given the spelling, spelling given the tables. Scores use predictive probabilities
+averaged over the seatings after the first. As in the base score, all words that training has not seen are
+one type of the distribution; it gets the mass of new tables that singletons say goes to new words, and known
+words share the rest of that mass by their spelling. open_score also spells out the unknown words.
 
 The corpus never meets one machine: batches of documents ask for their distinct words, by a digest of
-the word; the words of a bucket are counted, seated and answered together.
+the word; the words of a bucket are counted, seated and answered together. Pairs of words are counted by a digest
+of both; every batch draws the tables of its pairs from that digest, so all that share a pair agree.
 """
 
 from __future__ import annotations
@@ -172,11 +174,87 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
 
 
+END_HASH = _hashes([END])[0]
+
+
+def mix(a: np.ndarray, b) -> np.ndarray:
+    """64 bits of an ordered pair of 64-bit numbers."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(marks: np.ndarray, turn: int, k: int) -> np.ndarray:
+    return ((mix(marks, np.uint64(turn << 32 | k)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def drawn(n: np.ndarray, p: np.ndarray, marks: np.ndarray, turn: int, k: int) -> np.ndarray:
+    """Binomial numbers that depend on the mark, the turn and k alone: the inverse of the distribution, a normal number where its mean is large."""
+    u = _uniform(marks, turn, k)
+    if n.max() == 1:
+        return (u < p).astype(np.int64)
+    out, large = np.zeros(len(n), np.int64), n * p > 200
+    z = np.sqrt(-2 * np.log(u[large])) * np.cos(2 * np.pi * _uniform(marks[large], turn, k | 1 << 31))
+    out[large] = np.clip(np.rint(n[large] * p[large] + z * np.sqrt(n[large] * p[large] * (1 - p[large]))), 0, n[large])
+    mass = np.exp(n * np.log1p(-p))
+    below, odds = mass.copy(), p / (1 - p)
+    live = np.flatnonzero(~large & (u > below))
+    while len(live):
+        out[live] += 1
+        mass[live] *= (n[live] - out[live] + 1) / out[live] * odds[live]
+        below[live] += mass[live]
+        live = live[(u[live] > below[live]) & (out[live] < n[live])]
+    return out
+
+
+def seat_pairs(customers: np.ndarray, base: np.ndarray, discounted: float, marks: np.ndarray, turn: int) -> np.ndarray:
+    """seat() by numbers drawn from the pair's mark, so that every batch that has the pair finds the same tables."""
+    tables = (customers > 0).astype(np.int64)
+    here, k = np.flatnonzero(customers > 1), 1
+    while len(here):
+        stride = max(1, k // 5) if k >= 64 else 1
+        step = np.minimum(stride, customers[here] - k)
+        p = base[here] / (base[here] + k - discounted * tables[here])
+        tables[here] += drawn(step, np.clip(p, 0, 1 - 1e-12), marks[here], turn, k)
+        k += stride
+        here = here[customers[here] > k]
+    return np.minimum(tables, customers)
+
+
+def bigrams(code: np.ndarray, info: np.ndarray, hashes: np.ndarray):
+    """(places of the tokens that follow a word, each one's pair, and by pair, in order of marks, its left word, right word and mark).
+
+    A text's first word has no word before it; the end is left to the word restaurant.
+    """
+    inner = hashes[code] != END_HASH
+    inner[np.cumsum(info[:, 3]) - info[:, 3]] = False
+    token = np.flatnonzero(inner)
+    left, right = code[token - 1], code[token]
+    marks, first, at = np.unique(mix(hashes[left], hashes[right]), return_index=True, return_inverse=True)
+    return token, at, left[first].astype(np.int64), right[first].astype(np.int64), marks
+
+
+def _cuts(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(bucket, np.arange(buckets + 1))
+
+
+def _pair_bucket(marks: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with the mark."""
+    return ((marks >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+ROWS = "kind int, batch string, bucket int, blob binary, more binary, hashes binary"
+ROW_COLUMNS = [x.split()[0] for x in ROWS.split(", ")]
+
+
 def ask(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(doc_id, none, held, text) -> rows (kind, batch, bucket, blob, more).
+    """docs(doc_id, none, held, text) -> rows (kind, batch, bucket, blob, more, hashes).
 
-    kind 0: a batch's documents, with each token as the place of its word in the batch's list.
-    kind 1: the part of that list in one bucket, with the words' training counts.
+    kind 0: a batch's documents, with each token as the place of its word in the batch's list, and the words' digests.
+    kind 1: the part of that list in one bucket, in order of digests, with the words' training counts: as tokens, before
+    another word, and, one table for each pair of the batch, tables of their own restaurant and customers of the words'.
+    kind 2: marks of the batch's pairs in one bucket, with their training counts.
     """
 
     def run(batches):
@@ -191,27 +269,38 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
             first[code[::-1]] = np.arange(len(code))[::-1]
             lists = [words[k] for k in first.tolist()]
             bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((distinct, bucket))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
+            code, hashes, cuts = place[code], distinct[order], _cuts(bucket[order], buckets)
+            info = np.array([[x[0], -1 if x[1] is None else x[1], x[2], len(x[3]), x[1] is None, x[4]] for x in held], np.int64)
             train = np.repeat(np.array([not x[2] for x in held]), size)
-            counts = np.bincount(code[train], minlength=len(distinct))[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            begin = np.cumsum(size) - size
+            count = lambda x: np.bincount(x, minlength=len(order))
+            token, at, left, right, marks = bigrams(code, info, hashes)
+            n = np.bincount(at, train[token], minlength=len(marks)).astype(np.int64)
+            train[begin[info[:, 5] == 1]] = False  # a word that only is context here
+            alone = train.copy()
+            alone[token] = False
+            seen = n > 0
+            per_word = [count(code[train]), count(code[token[train[token]] - 1]), count(left[seen]), count(right[seen]) + count(code[alone])]
             name = f"{task}-{number}"
             number += 1
-            info = np.array([[x[0], -1 if x[1] is None else x[1], x[2], len(x[3]), x[1] is None] for x in held], np.int64)
-            rows = [(0, name, 0, _zip(place[code].astype(np.uint32)), info.tobytes())]
+            rows = [(0, name, 0, _zip(code.astype(np.uint32)), info.tobytes(), hashes.tobytes())]
             for b in np.flatnonzero(np.diff(cuts)):
                 part = order[cuts[b] : cuts[b + 1]].tolist()
-                rows.append((1, name, int(b), b" ".join([lists[k] if lists[k] != END else b"" for k in part]), _zip(counts[cuts[b] : cuts[b + 1]])))
+                rows.append((1, name, int(b), b" ".join([lists[k] if lists[k] != END else b"" for k in part]), _zip(np.concatenate([x[cuts[b] : cuts[b + 1]] for x in per_word])), None))
+            cuts = _cuts(_pair_bucket(marks, buckets), buckets)
+            for b in np.flatnonzero(np.diff(cuts)):
+                rows.append((2, name, int(b), _zip(np.diff(marks[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), _zip(n[cuts[b] : cuts[b + 1]]), None))
             held.clear()
-            return pd.DataFrame(rows, columns=["kind", "batch", "bucket", "blob", "more"])
+            return pd.DataFrame(rows, columns=ROW_COLUMNS)
 
         for pdf in batches:
             for i, none, h, t in zip(pdf["doc_id"].tolist(), pdf["none"], pdf["held"], pdf["text"], strict=True):
                 words = [*(t or "").encode("utf-8", "surrogatepass").lower().split(), END]
                 for k in range(0, len(words), BATCH_WORDS):
-                    held.append(((task << 40) + row, None if none else i, bool(h), words[k : k + BATCH_WORDS]))
+                    held.append(((task << 40) + row, None if none else i, bool(h), words[max(k - 1, 0) : k + BATCH_WORDS], k > 0))
                     total += len(held[-1][3])
                     if total >= BATCH_WORDS:
                         yield flush()
@@ -220,7 +309,7 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInPandas(run, "kind int, batch string, bucket int, blob binary, more binary")
+    return docs.mapInPandas(run, ROWS)
 
 
 def _split(blob: bytes) -> list[bytes]:
@@ -228,37 +317,74 @@ def _split(blob: bytes) -> list[bytes]:
     return [w or END for w in blob.split(b" ")]
 
 
-WORDS = "bucket int, chunk int, words binary, counts binary, tables array<binary>, spelling array<binary>, n_words long, n_tokens long, n_tables long, one long, two long, spelt double"
+def pair_counts(asks: DataFrame, buckets: int) -> DataFrame:
+    """For each asked list of pairs, twice their training counts in all batches, and one more in the batch that seats them for all."""
+
+    def run(batches):
+        asked: dict[int, list] = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                asked.setdefault(r.bucket, []).append((r.batch, np.cumsum(_unzip(r.blob, np.uint64), dtype=np.uint64), _unzip(r.more, np.int64)))
+        while asked:
+            b, parts = asked.popitem()
+            marks, first, at = np.unique(np.concatenate([x[1] for x in parts]), return_index=True, return_inverse=True)
+            c = np.bincount(at, np.concatenate([x[2] for x in parts])).astype(np.int64)
+            both = 2 * c[at]
+            both[first] += 1
+            begin = 0
+            for batch, part, _ in parts:
+                yield pd.DataFrame([(2, batch, b, _zip(both[begin : begin + len(part)]), int((c == 1).sum()) if not begin else 0, int((c == 2).sum()) if not begin else 0)], columns=["kind", "batch", "bucket", "blob", "one", "two"])
+                begin += len(part)
+
+    return asks.select("batch", "bucket", "blob", "more").repartitionById(buckets, F.col("bucket")).mapInPandas(run, "kind int, batch string, bucket int, blob binary, one long, two long")
+
+
+WORDS = "kind int, batch string, bucket int, chunk int, words binary, counts binary, inside array<binary>, customers array<binary>, tables array<binary>, spelling array<binary>, n_words long, n_tokens long, n_customers long, n_tables long, one long, two long, spelt double, end_customers long, end_tables long, end_spelt double"
+WORD_COLUMNS = [x.split()[0] for x in WORDS.split(", ")]
 
 
 def vocabulary(asks: DataFrame, buckets: int) -> DataFrame:
-    """All words of all batches with their training counts, a row for each CHUNK words of a bucket; one table each to begin with."""
+    """Kind 0: all words of all batches with their training counts, a row for each CHUNK words of a bucket. Kind 1: by batch, where in the bucket its words are."""
 
     def run(batches):
-        seen: dict[int, dict[bytes, int]] = {}
+        seen: dict[int, tuple[dict, list]] = {}
         for pdf in batches:
-            for b, blob, more in zip(pdf["bucket"], pdf["blob"], pdf["more"], strict=True):
-                known = seen.setdefault(b, {})
-                for w, n in zip(_split(blob), _unzip(more, np.int64).tolist(), strict=True):
-                    known[w] = known.get(w, 0) + n
+            for batch, b, blob, more in zip(pdf["batch"], pdf["bucket"], pdf["blob"], pdf["more"], strict=True):
+                known, asked = seen.setdefault(b, ({}, []))
+                at = np.fromiter((known.setdefault(w, len(known)) for w in _split(blob)), np.int64)
+                asked.append((batch, at, _unzip(more, np.int64).reshape(4, -1)))
         while seen:
-            b, known = seen.popitem()
-            words = sorted(known)
-            for k in range(0, len(words), CHUNK):
-                part = words[k : k + CHUNK]
-                c = np.array([known[w] for w in part], np.int64)
-                t = (c > 0).astype(np.int64)
-                yield pd.DataFrame([_chunk(b, k // CHUNK, part, c, [t], [])], columns=WORD_COLUMNS)
+            b, (known, asked) = seen.popitem()
+            words = list(known)
+            order = np.argsort(_hashes(words), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            sums = np.zeros((4, len(order)), np.int64)
+            for batch, at, n in asked:
+                sums[:, place[at]] += n
+                yield pd.DataFrame([(1, batch, b, 0, None, _zip(np.diff(place[at], prepend=0)), [], [], [], [], *[0] * 10)], columns=WORD_COLUMNS)
+            for k in range(0, len(order), CHUNK):
+                part = [words[i] for i in order[k : k + CHUNK].tolist()]
+                c, before, inside, customers = sums[:, k : k + CHUNK]
+                yield pd.DataFrame([_chunk(b, k // CHUNK, part, np.concatenate([c, before]), [inside], [customers], [], [])], columns=WORD_COLUMNS)
 
-    return asks.select("bucket", "blob", "more").repartitionById(buckets, F.col("bucket")).mapInPandas(run, WORDS)
+    return asks.select("batch", "bucket", "blob", "more").repartitionById(buckets, F.col("bucket")).mapInPandas(run, WORDS)
 
 
-WORD_COLUMNS = [x.split()[0] for x in WORDS.split(", ")]
+def _chunk(b, k, words, counts, inside, customers, tables, spelling):
+    """counts: of tokens, then of tokens before another word. By seating: tables of the word's own restaurant, customers and tables of the word, and its spelling."""
+    blob = b" ".join([b"" if w == END else w for w in words])
+    n = customers[-1]
+    t = tables[-1] if tables else (n > 0).astype(np.int64)
+    end = [i for i, w in enumerate(words) if w == END]
+    spelt = spelling[-1] if spelling else np.zeros(len(n))
+    of_end = lambda x, kind: kind(x[end].sum())
+    return (0, None, b, k, blob, _zip(counts), *[[_zip(x) for x in xs] for xs in (inside, customers, tables)], [x.tobytes() for x in spelling], int((n > 0).sum()), int(counts[: len(n)].sum()), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(spelt[n > 0].sum()), of_end(n, int), of_end(t, int), of_end(spelt, float))
 
 
-def _chunk(b, k, words, c, tables, spelling):
-    blob = b" ".join([b"" if w == END else w for w in words])
-    return (b, k, blob, _zip(c), [_zip(t) for t in tables], [x.tobytes() for x in spelling], int((c > 0).sum()), int(c.sum()), int(tables[-1].sum()), int((c == 1).sum()), int((c == 2).sum()), float(spelling[-1][c > 0].sum()) if spelling else 0.0)
+def _unchunk(r):
+    lists = [[_unzip(x, np.int64) for x in xs] for xs in (r.inside, r.customers, r.tables)]
+    return _split(r.words), _unzip(r.counts, np.int64), *lists, [np.frombuffer(x) for x in r.spelling]
 
 
 def spelling_counts(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -266,100 +392,227 @@ def spelling_counts(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for pdf in batches:
-            for blob, tables in zip(pdf["words"], pdf["tables"], strict=True):
+            for blob, tables, customers in zip(pdf["words"], pdf["tables"], pdf["customers"], strict=True):
                 _, keys, word = spelled(_split(blob))
                 key, at = np.unique(keys[ORDER], return_inverse=True)
-                yield pd.DataFrame({"key": key, "n": np.bincount(at, _unzip(tables[-1], np.int64)[word]).astype(np.int64)})
+                laid = _unzip(tables[-1], np.int64) if len(tables) else (_unzip(customers[-1], np.int64) > 0).astype(np.int64)
+                yield pd.DataFrame({"key": key, "n": np.bincount(at, laid[word]).astype(np.int64)})
 
-    rows = vocab.select("words", "tables").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toPandas().sort_values("key")
+    rows = vocab.select("words", "tables", "customers").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toPandas().sort_values("key")
     return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
 def sweep(vocab: DataFrame, spelling, strength: float, discounted: float, turn: int) -> DataFrame:
-    """New tables for every word, given the spelling model and the tables laid before."""
+    """New tables for every word, given the spelling model, the tables laid before and the customers the pairs send."""
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                words, c = _split(r.words), _unzip(r.counts, np.int64)
+                words, c, inside, customers, tables, spelt = _unchunk(r)
                 p = spelling.value.probabilities(words)
-                t = seat(c, strength * p, discounted, np.random.default_rng([turn, r.bucket, r.chunk]))
-                yield pd.DataFrame([_chunk(r.bucket, r.chunk, words, c, [*(_unzip(x, np.int64) for x in r.tables[1 if turn == 1 else 0 :]), t], [*([np.frombuffer(x) for x in r.spelling]), p])], columns=WORD_COLUMNS)
+                t = seat(customers[-1], strength * p, discounted, np.random.default_rng([turn, r.bucket, r.chunk]))
+                yield pd.DataFrame([_chunk(r.bucket, r.chunk, words, c, inside, customers, [*tables, t], [*spelt, p])], columns=WORD_COLUMNS)
 
     return vocab.mapInPandas(run, WORDS)
 
 
-def answers(asks: DataFrame, vocab: DataFrame, buckets: int, rates: list[float], total: float, discounted: float) -> DataFrame:
-    """For each asked list (batch, bucket): log10 of the averaged predictive probabilities, of the spelling for unknown words, and the counts.
+class Seating:
+    """What all share of one seating of the word restaurant: the rate a spelling is worth in customers, probabilities of unknown words and of the end."""
+
+    def __init__(self, sums, discounted: float, new: float):
+        self.discounted, self.total = discounted, STRENGTH + (sums["n_customers"] or 0)
+        opened = STRENGTH + discounted * (sums["n_tables"] or 0)
+        self.rate = opened * (1 - new) / (sums["spelt"] or 1.0)
+        self.unknown = new * opened / self.total
+        self.end = float(self.known(sums["end_customers"], sums["end_tables"], sums["end_spelt"])) if sums["end_customers"] else 0.0
+
+    def known(self, customers, tables, spelt):
+        return (customers - self.discounted * tables + self.rate * spelt) / self.total
 
-    rates: by seating, what a word's spelling is worth in customers.
-    """
 
-    def predictive(c, tables, spelling):
-        p = [np.where(c > 0, c - discounted * _unzip(t, np.int64) + rate * (q := np.frombuffer(x)), q * (STRENGTH + total)) for t, x, rate in zip(tables, spelling, rates, strict=True)]
-        return np.log10(np.mean(p, axis=0) / (STRENGTH + total))
+def answers(vocab: DataFrame, places: DataFrame, buckets: int, seatings: list[Seating], last: int) -> DataFrame:
+    """For each batch's list in a bucket: of the last seatings the words' probabilities, of unknown words the spelling, in blob; the counts and by seating the tables of the word's own restaurant in more."""
+    seatings = seatings[-last:]
 
     def run(batches):
-        known: dict[int, dict[bytes, int]] = {}
-        values: dict[int, list] = {}
+        chunks: dict[int, list] = {}
         waiting: list[tuple] = []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if r.kind == 1:
-                    waiting.append((r.batch, r.bucket, r.blob))
+                    waiting.append((r.batch, r.bucket, r.counts))
                     continue
-                c = _unzip(r.more, np.int64)
-                have, value = known.setdefault(r.bucket, {}), values.setdefault(r.bucket, [])
-                at = sum(len(x[0]) for x in value)
-                have.update(zip(_split(r.blob), range(at, at + len(c)), strict=True))
-                value.append((predictive(c, r.tables, r.spelling), c))
-        both = {b: (np.concatenate([x[0] for x in v]), np.concatenate([x[1] for x in v])) for b, v in values.items()}
+                c = _unzip(r.counts, np.int64).reshape(2, -1)
+                inside, customers, tables = ([_unzip(x, np.int64) for x in xs[-last:]] for xs in (r.inside, r.customers, r.tables))
+                spelt = [np.frombuffer(x) for x in r.spelling[-last:]]
+                p = [np.where(c[0] > 0, s.known(n, t, q), q) for s, n, t, q in zip(seatings, customers, tables, spelt, strict=True)]
+                chunks.setdefault(r.bucket, []).append((r.chunk, np.array(p, np.float32), np.array([*c, *inside])))
+        both = {}
+        for b, parts in chunks.items():
+            parts.sort(key=lambda x: x[0])
+            both[b] = np.concatenate([x[1] for x in parts], axis=1), np.concatenate([x[2] for x in parts], axis=1)
         while waiting:
-            batch, b, blob = waiting.pop()
-            words = _split(blob)
-            k = np.fromiter(map(known[b].__getitem__, words), np.int64, len(words))
-            yield pd.DataFrame([(1, batch, b, both[b][0][k].astype(np.float32).tobytes(), _zip(both[b][1][k]))], columns=["kind", "batch", "bucket", "blob", "more"])
-
-    none = F.array().cast("array<binary>")
-    asked = asks.select("kind", "batch", "bucket", "blob", F.lit(None).cast("binary").alias("more"), none.alias("tables"), none.alias("spelling"))
-    had = vocab.select(F.lit(0).alias("kind"), F.lit("").alias("batch"), "bucket", F.col("words").alias("blob"), F.col("counts").alias("more"), "tables", "spelling")
-    return had.unionByName(asked).repartitionById(buckets, F.col("bucket")).mapInPandas(run, "kind int, batch string, bucket int, blob binary, more binary")
-
-
-def scored(batches_: DataFrame, answered: DataFrame, n_train: int, n_types: int, unknown: float) -> DataFrame:
-    """The documents' sums: row, doc_id, held, tokens, known, base, score, open; a very long text has a row for each piece."""
-
-    def finish(doc, got):
-        info = np.frombuffer(doc[1], np.int64).reshape(-1, 5)
-        got.sort(key=lambda x: x[0])
-        logp = np.concatenate([np.frombuffer(x[1], np.float32) for x in got]).astype(float)
-        c = np.concatenate([_unzip(x[2], np.int64) for x in got])
-        base = np.log10((c + ALPHA) / (n_train + ALPHA * (n_types + 1)))
-        code = _unzip(doc[0], np.uint32)
-        begin = np.cumsum(info[:, 3]) - info[:, 3]
-        add = lambda x: np.add.reduceat(x[code], begin)
-        ids = pd.array(info[:, 1], dtype="Int64")
-        ids[info[:, 4] == 1] = pd.NA
-        return pd.DataFrame({"row": info[:, 0], "doc_id": ids, "held": info[:, 2] == 1, "tokens": info[:, 3], "known": add((c > 0).astype(np.int64)), "base": add(base), "score": add(np.where(c > 0, logp, unknown)), "open": add(np.where(c > 0, logp, unknown + logp))})
+            batch, b, steps = waiting.pop()
+            at = np.cumsum(_unzip(steps, np.int64))
+            yield pd.DataFrame([(1, batch, b, both[b][0][:, at].tobytes(), _zip(both[b][1][:, at].ravel()), None)], columns=ROW_COLUMNS)
+
+    rows = vocab.unionByName(places).select("kind", "batch", "bucket", "chunk", "words", "counts", "inside", "customers", "tables", "spelling").withColumn("words", F.lit(None).cast("binary"))
+    return rows.repartitionById(buckets, F.col("bucket")).mapInPandas(run, ROWS)
+
+
+class Batch:
+    """A batch with what it asked for: its words' probabilities by seating, its pairs' counts, and their tables by turn."""
+
+    def __init__(self, doc, words, pairs, seatings: list[Seating], discounted: float, turn: int):
+        """turn: of the tables that the first seating leads to."""
+        self.info = np.frombuffer(doc[1], np.int64).reshape(-1, 6)
+        self.code = _unzip(doc[0], np.uint32).astype(np.int64)
+        self.token, self.at, self.left, self.right, self.marks = bigrams(self.code, self.info, np.frombuffer(doc[2], np.uint64))
+        words.sort(key=lambda x: x[0])
+        pairs.sort(key=lambda x: x[0])
+        k = len(seatings)
+        p = np.concatenate([np.frombuffer(x[1], np.float32).reshape(k, -1) for x in words], axis=1).astype(float)
+        self.buckets = [(x[0], len(x[1]) // (4 * k)) for x in words]
+        self.counts, self.before, *self.inside = np.concatenate([_unzip(x[2], np.int64).reshape(k + 2, -1) for x in words], axis=1)
+        self.spelt = p.mean(axis=0)
+        self.words = [np.where(self.counts > 0, x, s.unknown) for x, s in zip(p, seatings, strict=True)]
+        n = np.concatenate([_unzip(x[1], np.int64) for x in pairs]) if pairs else np.zeros(0, np.int64)
+        assert len(n) == len(self.marks)
+        self.customers, self.owned = n >> 1, (n & 1 == 1) & (n > 1)
+        self.base = [(STRENGTH + discounted * t[self.left]) * x[self.right] / (1 - s.end) for t, x, s in zip(self.inside, self.words, seatings, strict=True)]
+        self.seatings, self.discounted, self.turn = seatings, discounted, turn
+
+    def seated(self, k: int) -> np.ndarray:
+        return seat_pairs(self.customers, self.base[k], self.discounted, self.marks, self.turn + k)
+
+    def probabilities(self) -> np.ndarray:
+        """Of each token, averaged over the seatings after the first."""
+        total = np.zeros(len(self.code))
+        for k in range(1, len(self.seatings)):
+            p = self.words[k][self.code]
+            own = self.customers - self.discounted * self.seated(k - 1) * (self.customers > 0)
+            p[self.token] = ((1 - self.seatings[k].end) * (own + self.base[k]) / (STRENGTH + self.before[self.left]))[self.at]
+            total += p
+        return total / (len(self.seatings) - 1)
+
+
+def by_batch(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, use, schema: str) -> DataFrame:
+    """Rows that use(name, doc, words, pairs) makes of each batch."""
 
     def run(parts):
-        name, doc, got = None, None, []
+        name, doc, got = None, None, ([], [])
         for pdf in parts:
             for r in pdf.itertuples(index=False):
                 if r.batch != name:
                     if doc is not None:
-                        yield finish(doc, got)
-                    name, doc, got = r.batch, None, []
+                        yield use(name, doc, *got)
+                    name, doc, got = r.batch, None, ([], [])
                 if r.kind == 0:
-                    doc = (r.blob, r.more)
+                    doc = (r.blob, r.more, r.hashes)
                 else:
-                    got.append((r.bucket, r.blob, r.more))
+                    got[r.kind - 1].append((r.bucket, r.blob, r.more))
         if doc is not None:
-            yield finish(doc, got)
+            yield use(name, doc, *got)
 
     n = partitions(batches_.sparkSession)
-    dealt = batches_.where("kind = 0").unionByName(answered).repartition(n, "batch").sortWithinPartitions("batch", "kind", "bucket")
-    return dealt.mapInPandas(run, "row long, doc_id long, held boolean, tokens long, known long, base double, score double, open double")
+    asked = pairs.select("kind", "batch", "bucket", "blob", F.lit(None).cast("binary").alias("more"), F.lit(None).cast("binary").alias("hashes"))
+    dealt = batches_.unionByName(answered).unionByName(asked).repartition(n, "batch").sortWithinPartitions("batch", "kind", "bucket")
+    return dealt.mapInPandas(run, schema)
+
+
+def pair_tables(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, seating: Seating, discounted: float, turn: int) -> DataFrame:
+    """New tables for every pair, given the words' probabilities; summed by left and by right word of the batch that seats the pair, for each bucket."""
+
+    def use(name, doc, words, asked):
+        x = Batch(doc, words, asked, [seating], discounted, turn)
+        t = x.seated(0)[x.owned]
+        alone = np.repeat(x.info[:, 2] == 0, x.info[:, 3])
+        alone[(np.cumsum(x.info[:, 3]) - x.info[:, 3])[x.info[:, 5] == 1]] = False
+        alone[x.token] = False
+        n = len(x.counts)
+        inside = np.bincount(x.left[x.owned], t, n).astype(np.int64)
+        customers = (np.bincount(x.right[x.owned], t, n) + np.bincount(x.code[alone], minlength=n)).astype(np.int64)
+        rows, begin = [], 0
+        for b, size in x.buckets:
+            rows.append((name, b, _zip(np.concatenate([inside[begin : begin + size], customers[begin : begin + size]]))))
+            begin += size
+        return pd.DataFrame(rows, columns=["batch", "bucket", "blob"])
+
+    return by_batch(batches_, pairs, answered, use, "batch string, bucket int, blob binary")
+
+
+def gathered(vocab: DataFrame, places: DataFrame, laid: DataFrame, buckets: int) -> DataFrame:
+    """The words with one more seating of the pairs: tables of each word's own restaurant, and its customers."""
+
+    def run(batches):
+        rows: dict[int, list] = {}
+        where: dict[tuple, np.ndarray] = {}
+        parts: list[tuple] = []
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.kind == 0:
+                    rows.setdefault(r.bucket, []).append(r)
+                elif r.kind == 1:
+                    where[r.bucket, r.batch] = np.cumsum(_unzip(r.counts, np.int64))
+                else:
+                    parts.append((r.bucket, r.batch, r.counts))
+        sums = {b: np.zeros((2, sum(len(_unzip(r.counts, np.int64)) // 2 for r in chunks)), np.int64) for b, chunks in rows.items()}
+        for b, batch, blob in parts:
+            sums[b][:, where[b, batch]] += _unzip(blob, np.int64).reshape(2, -1)
+        for b, chunks in rows.items():
+            begin = 0
+            for r in sorted(chunks, key=lambda r: r.chunk):
+                words, c, inside, customers, tables, spelt = _unchunk(r)
+                more = sums[b][:, begin : begin + len(words)]
+                begin += len(words)
+                yield pd.DataFrame([_chunk(b, r.chunk, words, c, [*inside, more[0]], [*customers, more[1]], tables, spelt)], columns=WORD_COLUMNS)
+
+    new = laid.select(F.lit(2).alias("kind"), "batch", "bucket", F.col("blob").alias("counts"))
+    rows = vocab.unionByName(places).unionByName(new, allowMissingColumns=True)
+    return rows.repartitionById(buckets, F.col("bucket")).mapInPandas(run, WORDS)
+
+
+def scored(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, seatings: list[Seating], discounted: float, n_train: int, n_types: int) -> DataFrame:
+    """The documents' sums: row, doc_id, held, tokens, known, base, score, open; a very long text has a row for each piece."""
+
+    def use(name, doc, words, asked):
+        x = Batch(doc, words, asked, seatings, discounted, 1)
+        c, begin = x.counts, np.cumsum(x.info[:, 3]) - x.info[:, 3]
+        base = np.log10((c + ALPHA) / (n_train + ALPHA * (n_types + 1)))[x.code]
+        score, own = np.log10(x.probabilities()), np.ones(len(x.code), np.int64)
+        own[begin[x.info[:, 5] == 1]] = 0
+        known = c[x.code] > 0
+        add = lambda v: np.add.reduceat(v * own, begin)
+        ids = pd.array(x.info[:, 1], dtype="Int64")
+        ids[x.info[:, 4] == 1] = pd.NA
+        return pd.DataFrame({"row": x.info[:, 0], "doc_id": ids, "held": x.info[:, 2] == 1, "tokens": add(np.ones(len(own), np.int64)), "known": add(known.astype(np.int64)), "base": add(base), "score": add(score), "open": add(np.where(known, score, score + np.log10(x.spelt)[x.code]))})
+
+    return by_batch(batches_, pairs, answered, use, "row long, doc_id long, held boolean, tokens long, known long, base double, score double, open double")
+
+
+def _by_kind(asks: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Kinds 0, 1 and 2 as tables of their own, so that each can be deleted after its last reader."""
+    spark, name = asks.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, "0")
+    spark.conf.set(name, "3")  # else each task sorts its blobs by kind
+    try:
+        asks.write.partitionBy("kind").option("parquet.block.size", 16 << 20).parquet(f"{scratch.root}/asks")
+    finally:
+        spark.conf.set(name, before)
+    shape = asks.drop("kind").schema
+    read = lambda k: spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{scratch.root}/asks/kind={k}")
+    exists = {k for k in (0, 1, 2) if _exists(spark, f"{scratch.root}/asks/kind={k}")}
+    return [(read(k) if k in exists else spark.createDataFrame([], shape)).select(F.lit(k).alias("kind"), *shape.names) for k in (0, 1, 2)]
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _discount(sums) -> float:
+    one, two = sums["one"] or 0, sums["two"] or 0
+    return min(max(one / max(one + 2 * two, 1), 0.1), 0.9)
 
 
 def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -374,24 +627,34 @@ def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, tex
     scratch, buckets = Scratch(spark, "pitman-yor"), partitions(spark)
     held = F.coalesce(fold(doc_id, 10) == 0, F.lit(True)) if held is None else held
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(doc_id).isNull().alias("none"), held.alias("held"), F.col(text).cast("string").alias("text"))
-    batches = scratch.save(ask(source, buckets), "batches")
-    asks = batches.where("kind = 1")
-    vocab = scratch.save(vocabulary(asks, buckets), "words-0")
-    sums = lambda v: v.agg(*[F.sum(x).alias(x) for x in ("n_words", "n_tokens", "n_tables", "one", "two", "spelt")]).first()
+    batches, word_asks, pair_asks = _by_kind(ask(source, buckets), scratch)
+    pairs = scratch.save(pair_counts(pair_asks, buckets), "pairs")
+    scratch.drop("asks/kind=2", shuffles=True)
+    of_pairs = pairs.agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
+    inner = _discount(of_pairs)
+    both = scratch.save(vocabulary(word_asks, buckets), "words")
+    scratch.drop("asks/kind=1", shuffles=True)
+    places, vocab = both.where("kind = 1"), both.where("kind = 0")
+    names = ("n_words", "n_tokens", "n_customers", "n_tables", "one", "two", "spelt", "end_customers", "end_tables", "end_spelt")
+    sums = lambda v: v.agg(*[F.sum(x).alias(x) for x in names]).first()
     now = sums(vocab)
     n_types, n_train = now["n_words"] or 0, now["n_tokens"] or 0
-    discounted = min(max((now["one"] or 0) / max((now["one"] or 0) + 2 * (now["two"] or 0), 1), 0.1), 0.9)
+    discounted = _discount(now)
     new = min(max((now["one"] or 0) / max(discounted * (now["n_tables"] or 0), 1.0), 0.01), 0.99) if n_types else 1.0
-    rates, opened = [], []
-    for turn in range(1, sweeps + 1):
-        spelling = spark.sparkContext.broadcast(Spelling(*spelling_counts(vocab), seed=turn))
-        vocab = scratch.save(sweep(vocab, spelling, STRENGTH + discounted * (now["n_tables"] or 0), discounted, turn), f"words-{turn}")
-        scratch.drop(f"words-{turn - 1}")
+    seatings: list[Seating] = []
+    for turn in range(sweeps + 1):
+        if turn:
+            answered = scratch.save(answers(vocab, places, buckets, seatings, 1), f"answers-{turn}")
+            laid = scratch.save(pair_tables(batches, pairs, answered, seatings[-1], inner, turn), f"laid-{turn}")
+            scratch.drop(f"answers-{turn}", shuffles=True)
+            vocab = scratch.save(gathered(vocab, places, laid, buckets), f"customers-{turn}")
+            scratch.drop(f"laid-{turn}", f"seated-{turn - 1}", shuffles=True)
+        spelling = spark.sparkContext.broadcast(Spelling(*spelling_counts(vocab), seed=turn + 1))
+        vocab = scratch.save(sweep(vocab, spelling, STRENGTH + discounted * (now["n_tables"] or 0), discounted, turn), f"seated-{turn}")
+        scratch.drop(*([f"customers-{turn}"] if turn else []))
         now = sums(vocab)
-        opened.append(STRENGTH + discounted * (now["n_tables"] or 0))
-        rates.append(opened[-1] * (1 - new) / (now["spelt"] or 1.0))
-    answered = scratch.save(answers(asks, vocab, buckets, rates, float(n_train), discounted), "answers")
-    scratch.drop(f"words-{sweeps}", shuffles=True)
-    unknown = float(np.log10(new * np.mean(opened) / (STRENGTH + n_train)))
-    rows = scored(batches, answered, n_train, n_types, unknown).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("open").alias("open_score"))
+        seatings.append(Seating(now, discounted, new))
+    answered = scratch.save(answers(vocab, places, buckets, seatings, sweeps + 1), "answers")
+    scratch.drop("words", f"seated-{sweeps}", shuffles=True)
+    rows = scored(batches, pairs, answered, seatings, inner, n_train, n_types).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("open").alias("open_score"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "open_score")

@@ -349,6 +349,39 @@ def test_pitman_yor_is_a_distribution(spark, table):
     assert sum(10 ** (got[i].score - end) for i, _ in probes[:-1]) + 10**end == pytest.approx(1.0, abs=1e-3)
 
 
+def test_pitman_yor_reads_the_word_before(spark, table):
+    """After a word, known words, the unknown type and the end add up to one; a scrambled text scores lower."""
+    rows = [(i, "a b c d e f g h " * 3 + " ".join(words(i, 10, 5))) for i in range(1, 40)]
+    known = sorted({w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()})
+    ids = iter(i for i in range(10_000, 40_000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    probes = {t: next(ids) for t in ["", "a", "unseen", "a b c d e f g h", "d a h c f b g e", *[f"{v} {w}" for v in ("a", "unseen") for w in [*known, "unseen2"]]]}
+    got = by_id(pitman_yor.score(table(rows + [(i, t) for t, i in probes.items()])))
+    at = {t: got[i].score for t, i in probes.items()}
+    assert at["a b c d e f g h"] > at["d a h c f b g e"] + 3
+    assert got[probes["a b c d e f g h"]].base_score == pytest.approx(got[probes["d a h c f b g e"]].base_score)
+    for v in ("a", "unseen"):
+        assert sum(10 ** (at[f"{v} {w}"] - at[v]) for w in [*known, "unseen2"]) + 10 ** at[""] == pytest.approx(1.0, abs=1e-3)
+
+
+def test_pitman_yor_pairs_across_pieces():
+    """A piece of a long text begins with the last word of the one before; the pairs of both are those of the text."""
+    h = pitman_yor._hashes([b"a", b"b", b"c", pitman_yor.END])
+    whole = pitman_yor.bigrams(np.array([0, 1, 2, 0, 3]), np.array([[0, 1, 0, 5, 0, 0]]), h)
+    parts = pitman_yor.bigrams(np.array([0, 1, 2, 2, 0, 3]), np.array([[0, 1, 0, 3, 0, 0], [0, 1, 0, 3, 0, 1]]), h)
+    assert whole[4].tolist() == parts[4].tolist() and len(whole[0]) == len(parts[0]) == 3
+
+
+def test_pairs_seat_alike_wherever_they_are():
+    rng = np.random.default_rng(0)
+    c, base, marks = rng.integers(0, 3000, 2000), rng.random(2000) * 50, rng.integers(0, 2**63, 2000).astype(np.uint64)
+    t = pitman_yor.seat_pairs(c, base, 0.5, marks, 1)
+    some = rng.permutation(2000)[:300]
+    assert (pitman_yor.seat_pairs(c[some], base[some], 0.5, marks[some], 1) == t[some]).all()
+    assert (t <= c).all() and ((t > 0) == (c > 0)).all()
+    plain = np.mean([pitman_yor.seat(c, base, 0.5, np.random.default_rng(k)).sum() for k in range(5)])
+    assert t.sum() == pytest.approx(plain, rel=0.02)
+
+
 def test_seats_stay_within_customers():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 10_000, 5_000_000])

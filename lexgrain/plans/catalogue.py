@@ -263,8 +263,10 @@ def brace_regions(spark, sf_dir):
 
 @query()
 def python_regions(spark, sf_dir):
-    """The last words of each document as a function's body: source with a known shape."""
-    body = F.concat(F.lit("class A:\n    def f(self):\n        x = '"), F.regexp_replace(F.substring("text", 1, 40), r"[^a-zA-Z ]", ""), F.lit("'\n        return x\n\nif A:\n    pass\n"))
+    """The whole text of each document as Python source: a class with a method for each line that is not blank, which returns the line."""
+    quoted = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\r"), F.lit("\\r")), F.lit("\0"), F.lit("\\0"))
+    method = lambda x: F.when(x.rlike(r"\S"), F.concat(F.lit("    def f(self):\n        return '"), quoted(x), F.lit("'\n"))).otherwise("\n")
+    body = F.concat(F.lit("class A:\n    pass\n"), F.array_join(F.transform(T.lines(F.col("text")), method), ""), F.lit("\nif A:\n    pass\n"))
     rows = corpus(spark, sf_dir).select("doc_id", R.parsed_regions(body, F.lit("python")).alias("r"))
     return rows.select("doc_id", F.size("r.block").alias("n_blocks"), F.size("r.symbol").alias("n_symbols"), "r.parsed")
 

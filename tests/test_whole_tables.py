@@ -2,6 +2,7 @@
 
 import ast
 
+from conftest import SF
 
 from lexgrain.plans import catalogue
 
@@ -15,3 +16,9 @@ def test_python_regions_read_whole_texts(spark, tmp_path):
         kinds = [type(n) for n in ast.walk(ast.parse(source))]
         symbols = sum(k in (ast.FunctionDef, ast.ClassDef) for k in kinds)
         assert got[i] == (symbols + kinds.count(ast.If), symbols, True)
+
+
+def test_set_ops_read_all_customers(spark):
+    keys = lambda t, c: {r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()}
+    s, c, n = keys("supplier", "s_nationkey"), keys("customer", "c_nationkey"), keys("nation", "n_nationkey")
+    assert {r.op: r.n for r in catalogue.set_ops_whole(spark, SF).collect()} == {"union": len(s | c), "intersect": len(s & c), "except": len(n - c)}

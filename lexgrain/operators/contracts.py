@@ -57,15 +57,15 @@ def task_violations(tasks: DataFrame, corpora: DataFrame, least_tasks: int = 1,
     return out.unionByName(placeholders(corpora, "commit").select(F.lit("placeholder").alias("rule"), F.col("id").alias("detail")))
 
 
-def plan_violations(steps: DataFrame) -> DataFrame:
-    """steps(id, order, dependencies): gaps in the order, unknown dependencies, ones that do not come before."""
-    n = steps.withColumn("want", F.row_number().over(Window.orderBy("order", "id")))  # a plan is a few hundred steps
-    gaps = n.where(F.col("order") != F.col("want")).select(F.lit("order").alias("rule"), F.col("id").alias("detail"))
-    needs = steps.select("id", "order", F.explode("dependencies").alias("dep"))
-    seen = steps.select(F.col("id").alias("dep"), F.col("order").alias("dep_order"))
-    joined = needs.join(seen, "dep", "left")
-    unknown = joined.where("dep_order is null").select(F.lit("unknown dependency").alias("rule"), F.col("id").alias("detail"))
-    late = joined.where(F.col("dep_order") >= F.col("order")).select(F.lit("dependency order").alias("rule"), F.col("id").alias("detail"))
+def plan_violations(steps: DataFrame, plan: tuple[str, ...] = ()) -> DataFrame:
+    """steps(id, order, dependencies): gaps in the order, unknown dependencies, ones that do not come before. plan: columns that tell plans apart; without them all steps are one plan, ranked by one task."""
+    n = steps.withColumn("want", F.row_number().over(Window.partitionBy(*plan).orderBy("order", "id")))
+    gaps = n.where(F.col("order") != F.col("want")).select(*plan, F.lit("order").alias("rule"), F.col("id").alias("detail"))
+    needs = steps.select(*plan, "id", "order", F.explode("dependencies").alias("dep"))
+    seen = steps.select(*plan, F.col("id").alias("dep"), F.col("order").alias("dep_order"))
+    joined = needs.join(seen, [*plan, "dep"], "left")
+    unknown = joined.where("dep_order is null").select(*plan, F.lit("unknown dependency").alias("rule"), F.col("id").alias("detail"))
+    late = joined.where(F.col("dep_order") >= F.col("order")).select(*plan, F.lit("dependency order").alias("rule"), F.col("id").alias("detail"))
     return gaps.unionByName(unknown).unionByName(late)
 
 

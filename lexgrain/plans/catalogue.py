@@ -566,6 +566,14 @@ def contract_violations(spark, sf_dir):
     return contracts.plan_violations(steps).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query("WITH s AS (SELECT o_custkey AS plan, (o_orderkey % 50)::VARCHAR AS id, o_orderkey % 40 AS ord, (o_orderkey % 30)::VARCHAR AS dep FROM orders) SELECT rule, count(*) AS n FROM (SELECT 'unknown dependency' AS rule FROM s LEFT JOIN s t ON t.plan = s.plan AND t.id = s.dep WHERE t.id IS NULL UNION ALL SELECT 'dependency order' FROM s JOIN s t ON t.plan = s.plan AND t.id = s.dep WHERE t.ord >= s.ord UNION ALL SELECT 'order' FROM (SELECT ord, row_number() OVER (PARTITION BY plan ORDER BY ord, id) AS w FROM s) WHERE ord <> w) GROUP BY rule")
+def contract_violations_whole(spark, sf_dir):
+    """All orders; each customer's are a plan."""
+    key = lambda n: (F.col("o_orderkey") % n).cast("string")
+    steps = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan"), key(50).alias("id"), (F.col("o_orderkey") % 40).alias("order"), F.array(key(30)).alias("dependencies"))
+    return contracts.plan_violations(steps, ("plan",)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 @query("WITH g AS (SELECT concat('repo', p_partkey % 6) AS repo, concat(p_brand, '/', p_size, '.rs') AS gold_file FROM part), d AS (SELECT DISTINCT concat('repo', p_partkey % 5) AS repo, concat(p_brand, '/', p_size, '.rs') AS gold_file FROM part WHERE p_partkey % 2 = 0) SELECT g.repo, count(*) AS tasks, sum((d.repo IS NULL)::INT)::BIGINT AS missing, bool_or(g.repo IN (SELECT repo FROM d)) AS indexed FROM g LEFT JOIN d ON g.repo = d.repo AND g.gold_file = d.gold_file GROUP BY g.repo")
 def gold_coverage(spark, sf_dir):
     part = table(spark, sf_dir, "part")

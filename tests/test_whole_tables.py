@@ -4,6 +4,7 @@ import ast
 
 from conftest import SF
 
+from lexgrain.operators import contracts
 from lexgrain.plans import catalogue
 
 
@@ -22,3 +23,8 @@ def test_set_ops_read_all_customers(spark):
     keys = lambda t, c: {r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()}
     s, c, n = keys("supplier", "s_nationkey"), keys("customer", "c_nationkey"), keys("nation", "n_nationkey")
     assert {r.op: r.n for r in catalogue.set_ops_whole(spark, SF).collect()} == {"union": len(s | c), "intersect": len(s & c), "except": len(n - c)}
+
+
+def test_plans_are_checked_apart(spark):
+    steps = spark.createDataFrame([(p, i, o, d) for p in (1, 2) for i, o, d in (("a", 1, []), ("b", 2, ["a"]))] + [(3, "c", 1, ["a"])], "plan int, id string, order int, dependencies array<string>")
+    assert [(r.plan, r.rule, r.detail) for r in contracts.plan_violations(steps, ("plan",)).collect()] == [(3, "unknown dependency", "c")]

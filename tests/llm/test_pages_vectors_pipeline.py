@@ -58,19 +58,71 @@ def test_marginals_against_enumeration():
     """Sum-product on a small tree equals the sum over all labellings."""
     import itertools
 
-    tree = html_text.Tree(html_text.prior())
-    nodes, _ = html_text.parse(f"<body><div><p>{LONG}</p><p>a</p></div><ul><li><a>x</a></li></ul></body>")
-    total, mass = 0.0, np.zeros(len(nodes))
-    for y in itertools.product((0, 1), repeat=len(nodes)):
-        p = float(y[0] == 0)
-        for k, n in enumerate(nodes[1:], 1):
-            odds = np.exp(sum(tree.nodes.get(f, 0.0) for f in html_text.features(n)))
-            p *= tree.edges.get(html_text.kind(n), tree.edges[""])[y[n.parent], y[k]] * (odds if y[k] else 1)
+    tree = html_text.Tree(html_text.fixed())
+    nodes, _ = html_text.parse(f"<body><div><p>{LONG}</p></div><ul><li><a>x</a></li></ul></body>")
+    tables = tree.tables(nodes)
+    total, mass = 0.0, np.zeros((len(nodes), 3))
+    for y in itertools.product((0, 1, 2), repeat=len(nodes) - 1):
+        y = (2, *y)
+        p = np.prod([tables[k][y[n.parent]][y[k]] for k, n in enumerate(nodes[1:], 1)])
         total += p
-        mass += p * np.array(y)
+        for k in range(len(nodes)):
+            mass[k, y[k]] += p
     assert np.allclose(tree.marginals(nodes), mass / total)
 
 
+def test_unmarked_articles(spark):
+    """Articles without a tag or a class of their own; a telling word inside a name tells nothing."""
+    pages = [
+        f"<body><p>{LONG}{LONG}</p><p>{LONG}</p></body>",
+        f"<body><div><h1>T</h1><p>{LONG}{LONG}</p></div></body>",
+        f'<div class="x">{LONG * 9}</div>',
+        f'<article><div class="legal-form-guide"><p>{LONG}</p></div></article>',
+        f"<article><p>{LONG}</p></article><div class='rail'><p>{LONG}</p></div>",
+        f"<article><p>{LONG}</p><section class='reader-comments'>{f'<p>{LONG}</p>' * 60}</section></article>",
+    ]
+    one = LONG.strip()
+    assert extract(spark, pages) == dict(enumerate([f"{one} {one}\n{one}", f"T\n{one} {one}", " ".join([one] * 9), one, one, one]))
+
+
+def test_articles_with_their_mark_hidden(spark):
+    """What the table's marked pages teach holds where the tag is hidden."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    plain = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    got = extract(spark, pages + plain)
+    assert all(got[k] == got[k + len(pages)] for k in range(len(pages)))
+
+
+def test_markup_that_is_kept_and_dropped(spark):
+    pages = [
+        f'<p title="x>{LONG}</p>',
+        "<article><p>a <math>x+y</math> <object>o</object><svg/>z<svg><text>no</text></svg> <b>c</p></article>",
+        "<article><p>a<select>b</article>",
+        "<article><p>a<select><option>b</select>c</article>",
+        "<article><p>1 < 2 &lt; 3</p></article>",
+    ]
+    assert extract(spark, pages) == {0: LONG.strip(), 1: "a x+y o z c", 2: "a b", 3: "a c", 4: "1 < 2 < 3"}
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href='", "<div></p>", '<a ">" ', "<select>", "<!--", "<", "<svg>", "</p>", "<li><ul><div>", "<p title=\"x'>"])
+def test_a_broken_megabyte_takes_linear_time(unit):
+    import time
+
+    tree, began = html_text.Tree(html_text.fixed()), time.time()
+    tree.extract(unit * (1_000_000 // len(unit)))
+    tree.extract("<ul>" + "<div>" * 50_000 + "<li></li>" * 50_000 + "</p>" * 50_000)
+    assert time.time() - began < 10
+
+
+def test_pages_rows_and_clashing_columns(spark):
+    rows = [(1, "u", f"<p>{LONG}{LONG}</p>"), (1, "u", f"<p>{LONG}{LONG}</p>"), (None, None, f"<div>{LONG * 20_000}</div>"), (2, "v", None)]
+    df = spark.createDataFrame(rows, PAGE)
+    for name in ("text", "n_chars", "__html", "key", "n"):
+        df = df.withColumn(name, html_text.F.lit("clash"))
+    got = sorted((str(r.page_id), r.n_chars) for r in html_text.main_text(df).collect())
+    assert got == [("1", 2 * len(LONG) - 1)] * 2 + [("2", 0), ("None", 20_000 * len(LONG) - 1)]
+
+
 VECTOR = "vec_id long, embedding array<double>, label int"
 
 

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.llm.scratch import Scratch, full, replaced
@@ -33,15 +33,19 @@ def ngram_counts(text: str | None, bins: int = BINS) -> np.ndarray | None:
         return None
     known, out, any_letter = letters(), np.zeros(bins, np.int64), False
     text = text.lower()
-    for k in range(0, len(text), PIECE):
-        code = np.frombuffer(text[max(k - 2, 0) : k + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+    tail, inside = np.empty(0, np.uint32), False  # the last symbols so far, and whether the last character was a letter
+    for k in range(0, len(text), PIECE):  # in pieces, so that a very long text needs little memory; the counts are those of the whole
+        code = np.frombuffer(text[k : k + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
         word = known[code]
         any_letter |= bool(word.any())
         keep = word.copy()
         keep[1:] |= word[:-1]
-        c = np.where(word, code, 32)[keep]
-        c = np.concatenate(([32], c, [32])).astype(np.uint32)
+        keep[0] |= inside
+        inside = bool(word[-1])
+        edge = [32] if k == 0 else [], [32] if k + PIECE >= len(text) else []
+        new = np.concatenate((edge[0], np.where(word, code, 32)[keep], edge[1])).astype(np.uint32)
         for n in NGRAMS:
+            c = np.concatenate((tail[max(len(tail) - n + 1, 0) :] if n > 1 else tail[:0], new))
             if len(c) < n:
                 continue
             h = np.full(len(c) - n + 1, n * 0x85EBCA6B & 0xFFFFFFFF, np.uint32)
@@ -49,6 +53,7 @@ def ngram_counts(text: str | None, bins: int = BINS) -> np.ndarray | None:
                 h = (h ^ c[j : len(c) - n + 1 + j]) * np.uint32(0x9E3779B1)
                 h ^= h >> np.uint32(15)
             out += np.bincount(h & np.uint32(bins - 1), minlength=bins)
+        tail = np.concatenate((tail, new))[-max(NGRAMS) + 1 :]
     return out if any_letter else None
 
 
@@ -118,16 +123,17 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
     """docs(doc_id, text, lang), all of them labelled.
 
     Document frequencies are of all rows. The classifier learns from a sample of about max_train rows
-    (the documented bound), the same number of each language or all it has, drawn by a hash of the id;
-    a fifth of the sample sets the temperature instead.
+    (the documented bound; twice that at the very most), the same number of each language or all it
+    has, drawn by a hash of id and text; a fifth of the sample sets the temperature instead.
     """
     langs = scratch.save(docs.groupBy("lang").count().where("lang <> ''"), "langs")
     many = langs.count()
     rates = langs.select("lang", F.least(F.lit(1.0), F.lit(max_train / max(many, 1)) / F.col("count")).alias("rate"))
     if many <= MAX_BROADCAST:  # else a sort-merge join, whose hot languages adaptive execution splits
         rates = F.broadcast(rates)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
-    rows = docs.join(rates, "lang").select("lang", "text", (draw < F.col("rate")).alias("pick"), (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0).alias("held"))
+    mark = F.xxhash64("doc_id", "text")
+    draw = F.pmod(F.xxhash64(mark, F.lit(11)), F.lit(1_000_000)) / 1e6
+    rows = docs.join(rates, "lang").select("lang", "text", (draw < F.col("rate")).alias("pick"), (F.pmod(F.xxhash64(mark, F.lit(12)), F.lit(5)) == 0).alias("held"))
 
     def run(batches):
         total, n = np.zeros(bins, np.int64), 0
@@ -164,7 +170,9 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
         df, n = df + np.frombuffer(zlib.decompress(row.blob), "<i8"), n + row.n
     idf = np.log((1 + n) / (1 + df)) + 1
     sample = []
-    for r in seen.where("lang is not null").orderBy("lang", F.xxhash64("blob")).collect():  # some 4,000 rows
+    # Rows that repeat one id and text are drawn together: the limit holds the sample to its bound whatever repeats.
+    picked = seen.where("lang is not null").orderBy(F.xxhash64("blob"), "lang", "held").limit(2 * max_train).collect()
+    for r in sorted(picked, key=lambda r: r.lang):
         raw = zlib.decompress(r.blob)
         idx = np.frombuffer(raw, "<u4", len(raw) // 8).astype(np.int32)
         sample.append((r.lang, r.held, idx, weighted(idx, np.frombuffer(raw, "<f4", len(idx), 4 * len(idx)), idf).astype(np.float32)))
@@ -185,8 +193,8 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN, bins: i
     return Model(names, idf, w.astype(np.float32), b, temperature(logits, y[held]))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, the columns in keep, lang_pred, score (calibrated probability).
+def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", keep: tuple[str | Column, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, the columns in keep (not named doc_id, lang_pred or score), lang_pred, score (calibrated probability).
 
     A null text, or one without a letter, is `und` with score 0, as is every text where nothing was
     learned. Repeated rows, null ids and very long texts are rows like any other.
@@ -211,11 +219,12 @@ def predict_languages(docs: DataFrame, max_train: int = MAX_TRAIN, keep: tuple[s
     """doc_id, held_out, lang_pred, score for each row: learned from the rows with a lang that crc32(doc_id) mod 3 does not hold out.
 
     lang, source and doc_id are no inputs of a prediction. A null doc_id has no remainder: it is not
-    learned from and counts as held out. An empty table gives no rows.
+    learned from and counts as held out. An empty table gives no rows. Of columns beside doc_id, text and
+    lang only those in keep are read. Equal texts have equal answers; of equally probable languages the
+    first by name wins.
     """
     scratch = Scratch(docs.sparkSession, "langid")
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(True))
     labelled = docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     model = train(labelled, scratch, max_train)
-    out = identify(docs.withColumn("__held", held) if "__held" not in docs.columns else docs, model, keep=(*keep, "__held"))
-    return out.withColumnRenamed("__held", "held_out").select("doc_id", "held_out", "lang_pred", "score", *keep)
+    return identify(docs, model, keep=(*keep, held.alias("held_out"))).select("doc_id", "held_out", "lang_pred", "score", *keep)

@@ -54,7 +54,6 @@ def measures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
         F.regexp_count(F.col("text"), F.lit(r"[.!?](?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_stops"),
-        F.size(F.filter("words", lambda w: w.rlike("[#*$%&|<>]"))).cast("long").alias("n_symbol_words"),
         F.regexp_count(F.col("text"), F.lit("[A-Z]")).cast("long").alias("n_capitals"),
     )
 
@@ -67,11 +66,10 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "length": (n >= 50, n < 20),
         "word_length": (mean.between(3.0, 9.0), (mean < 2.0) | (mean > 14.0)),
         "symbols": (c("n_symbols") <= 0.01 * n, c("n_symbols") > 0.1 * n),
-        "symbol_words": (c("n_symbol_words") <= 0.03 * n, c("n_symbol_words") > 0.12 * n),
-        "symbol_share": (c("n_symbols") <= 0.002 * c("word_chars"), c("n_symbols") > 0.04 * c("word_chars")),
         "lines": ((c("n_dup_lines") == 0) & (c("n_lines") >= 3), c("n_dup_lines") > 0.3 * c("n_lines")),
         "repeats": ((c("n_repeat_words") <= 0.02 * n) & (n >= 50), c("n_repeat_words") > 0.15 * n),
-        "function_words": (c("n_function") >= 0.1 * n, (c("n_function") < 0.02 * n) & (n >= 20)),
+        # Without any of them a text may be in a language that the list does not have: no vote.
+        "function_words": (c("n_function") >= 0.1 * n, (c("n_function") > 0) & (c("n_function") < 0.02 * n) & (n >= 20)),
         "sentences": ((c("n_stops") >= 0.01 * n) & (c("n_stops") <= 0.34 * n), ((c("n_stops") == 0) & (n >= 30)) | (c("n_stops") > 0.5 * n)),
         "capitals": (c("n_capitals") <= 0.15 * c("word_chars"), c("n_capitals") > 0.4 * c("word_chars")),
     }
@@ -88,9 +86,9 @@ def posterior(names: list[str], prior: float, good: dict[str, float], bad: dict[
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = 25, tolerance: float = 1e-4):
-    """EM over patterns(v_*, n), of which there are 3 to the power of the rules at most. A rule may
-    turn out blind to bad rows, but never worse than chance about good ones."""
+def fit(patterns: DataFrame, names: list[str], rounds: int = 100, tolerance: float = 1e-4):
+    """EM over patterns(v_*, n), of which there are 3 to the power of the rules at most, until neither the
+    prior nor any accuracy moves. A rule may turn out blind to bad rows, but never worse than chance about good ones."""
     prior, good, bad = 0.8, dict.fromkeys(names, 0.8), dict.fromkeys(names, 0.8)
     for _ in range(rounds):
         q = posterior(names, prior, good, bad)
@@ -103,10 +101,10 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = 25, tolerance: floa
         if not row["n"]:
             break
         share = lambda a, b, least: min(max(((row[a] or 0.0) + 8.0) / ((row[b] or 0.0) + 10.0), least), 0.99)
-        old = prior
+        old = [prior, *good.values(), *bad.values()]
         prior = min(max(row["q"] / row["n"], 0.05), 0.95)
         good, bad = {r: share(f"gr_{r}", f"g_{r}", 0.5) for r in names}, {r: share(f"br_{r}", f"b_{r}", 0.02) for r in names}
-        if abs(prior - old) < tolerance:
+        if max(abs(a - b) for a, b in zip(old, [prior, *good.values(), *bad.values()], strict=True)) < tolerance:
             break
     return prior, good, bad
 

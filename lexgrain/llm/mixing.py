@@ -21,11 +21,12 @@ def topic_of(text: Column, n_words: Column) -> Column:
     return F.when(n_words == 0, "empty").when(bars * 5 > n_words, "table").when(marks * 5 > n_words, "symbols").when(n_words < 8 * lines, "list").when(n_words < 100, "short").otherwise("prose")
 
 
-def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens: the weight of each row is the words of its whole text. Nulls are a class of their own."""
+def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, mark (what its draw goes by), source, lang, topic, n_tokens: the weight of each row is the words of its whole text. Nulls are a class of their own."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), body.alias("text"), F.size(words_column(body)).cast("long").alias("n_tokens"))
-    return rows.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
+    rows = docs.select(F.struct(*keep, F.lit(0).alias("__none")).alias("__keep"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), body.alias("text"), F.size(words_column(body)).cast("long").alias("n_tokens"))
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return rows.select("__keep", "doc_id", mark.alias("mark"), "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
 
 
 def tempered(cells: DataFrame, by: str, power: float) -> DataFrame:
@@ -80,25 +81,25 @@ def rate(cells: DataFrame, budget: float) -> float:
     return f
 
 
-def mix(docs: DataFrame, budget: float = 0.5, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = SEED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, source, lang, topic, n_tokens, probability, weight, kept.
+def mix(docs: DataFrame, budget: float = 0.5, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: keep, doc_id, source, lang, topic, n_tokens, probability, weight, kept.
 
     Target shares of the tokens of each source, language and topic are given as targets (column of
     that name, share), or are the present shares to the given powers. budget is the part of all
     tokens that is expected to be kept. A cell that cannot give its part is kept whole; weight says by
     how much each kept row then counts for the targets to hold. kept compares the probability with a
-    hash of doc_id and seed: the same for repeated rows, on each machine and in each run. Null sources
-    and languages are classes of their own, shown as ''. Rows without a token have no part in it and
+    hash of doc_id and seed, or of the text where there is no doc_id: the same for repeated rows, on each
+    machine and in each run. Null sources and languages are classes of their own, shown as ''. Rows without a token have no part in it and
     are not kept. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.save(weigh(docs, text, doc_id), "rows")
+    rows = scratch.save(weigh(docs, text, doc_id, keep), "rows")
     cells = scratch.save(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     aims = targets or {by: scratch.save(tempered(cells, by, (powers or TEMPERATURE)[by]), f"aim-{by}") for by in DIMENSIONS}
     raked = rake(cells, aims, scratch)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     wanted = F.lit(rate(raked, budget)) * F.col("weight") * F.lit(total) / F.col("tokens")
     rates = scratch.save(raked.select(*DIMENSIONS, F.least(F.lit(1.0), wanted).alias("probability"), F.greatest(F.lit(1.0), wanted).alias("weight")), "rates")
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64("mark", F.lit(seed)), 11) / F.lit(float(1 << 53))
     out = rows.join(rates, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0))
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", "probability", F.coalesce("weight", F.lit(0.0)).alias("weight"), (draw < F.col("probability")).alias("kept"))
+    return out.select(*[F.col("__keep")[k].alias(k) for k in keep], "doc_id", *DIMENSIONS, "n_tokens", "probability", F.coalesce("weight", F.lit(0.0)).alias("weight"), (draw < F.col("probability")).alias("kept"))

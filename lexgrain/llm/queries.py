@@ -7,6 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Setting that names the folder where token counts are kept from run to run; unset, a run has a cache of its own.
+TOKEN_CACHE = "spark.lexgrain.tokenCache"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +33,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrain.llm.token_counts import count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), spark.conf.get(TOKEN_CACHE, None))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ BATCH_ROWS = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where that is unset a local one, if all of Spark is on this machine, as in tests."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -21,16 +21,25 @@ def shared_root(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexgrain-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 class Scratch:
-    """Parquet tables of one run. Losing an executor loses none of them, and reading one has no lineage."""
+    """Parquet tables of one run. Losing an executor loses none of them, and reading one has no lineage.
+
+    A result that is still to be read may rest on them: clear() removes those of a session when its
+    results have been read. The session keeps the smaller Arrow batches set here, as results are lazy.
+    """
+
+    roots: dict[int, list[str]] = {}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.roots.setdefault(id(spark.sparkContext), []).append(self.root)
         # Long texts would make batches of the default 10,000 rows too large for a worker.
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -51,6 +60,14 @@ class Scratch:
             jvm.System.gc()
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch tables that this session has written so far."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for root in Scratch.roots.pop(id(spark.sparkContext), []):
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def full(batches):
     """Batches with rows: a column made of no values has no type that a string column could take."""
     return (b for b in batches if len(b))

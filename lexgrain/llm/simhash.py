@@ -8,16 +8,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.llm.components import connected_components
-from lexgrain.llm.scratch import Scratch, partitions, replaced
+from lexgrain.llm.scratch import Scratch, full, partitions, replaced
 
 SHINGLE = 4
 DISTANCE = 4
 BLOCKS = 6
 SEED = 42
+BUCKET = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -39,30 +40,41 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) for each row; a null text counts as empty and gets zero."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, fp) for each row; a null text counts as empty and gets zero."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield replaced(batch, ("text",), {"fp": pa.array(fp.view(np.int64))})
+            fp = np.array([fingerprint(t) for t in batch.column("__text").to_pylist()], np.uint64)
+            yield replaced(batch, ("__text",), {"fp": pa.array(fp.view(np.int64))})
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keep, F.col(text).cast("string").alias("__text"))
+    return source.mapInArrow(run, source.drop("__text").schema.add("fp", "long"))
 
 
-def block_keys(fp: Column, blocks: int = BLOCKS, distance: int = DISTANCE) -> Column:
-    """Keys of every choice of blocks - distance blocks: a pair within distance shares one choice at least."""
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    part = [F.shiftrightunsigned(fp, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)) for k in range(blocks)]
-    keys = []
-    for i, chosen in enumerate(itertools.combinations(range(blocks), blocks - distance)):
-        key, at = F.lit(i).cast("long"), 0
-        for k in chosen:
-            key = F.shiftleft(key, cuts[k + 1] - cuts[k]).bitwiseOR(part[k])
-            at += cuts[k + 1] - cuts[k]
-        keys.append(key)
-    return F.array(*keys)
+def blocks_for(many: int, distance: int = DISTANCE) -> int:
+    """Into how many blocks fingerprints are cut: the fewest whose keys leave some sixteen random fingerprints a bucket."""
+    blocks = distance + 2
+    while blocks < distance + 5 and 64 * (blocks - distance) / blocks < np.log2(max(many, 1)) - 4:
+        blocks += 1
+    return blocks
+
+
+def _parts(free: int, many: int) -> list[int]:
+    """The set bits of a mask, dealt into as many masks of neighbouring bits, even in size."""
+    bits = [b for b in range(64) if free >> b & 1]
+    cuts = [round(len(bits) * k / many) for k in range(many + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in itertools.pairwise(cuts)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+    """Each choice of blocks - distance blocks, as the mask of their bits: a pair within distance is equal under one at least."""
+    part = _parts((1 << 64) - 1, blocks)
+    return [sum(chosen) for chosen in itertools.combinations(part, blocks - distance)]
 
 
 def _union(pairs_a: list[int], pairs_b: list[int]) -> list[tuple[int, int]]:
@@ -119,50 +131,101 @@ def _links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, distance: int) -
     return _union(a, b)
 
 
-def near_edges(classes: DataFrame, spark: SparkSession, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
-    """classes(fp, rep), fp distinct -> links (a, b) between reps whose transitive closure is that of all links."""
+def _compare(keyed: DataFrame, distance: int, limit: int) -> DataFrame:
+    """keyed(mask, part, fp): links (mask null, a, b) of each bucket of up to limit fingerprints; of larger ones the rows, keyed anew.
+
+    Fingerprints of a bucket agree in the bits of its mask. The other bits of a large bucket's mask fall
+    into distance + 1 parts, one of which any linked pair shares, so it splits into buckets of longer masks.
+    With log2(limit) free bits left no bucket is larger, so that this ends. A task holds limit rows or so.
+    """
 
     def run(batches):
         held: list[pd.DataFrame] = []
-        rows = 0
-
-        def flush(pdf: pd.DataFrame):
-            key = pdf["key"].to_numpy()
-            bounds = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            found = _links(pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), bounds, distance)
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-        for pdf in batches:
+        rows, large = 0, None
+
+        def links(pdf: pd.DataFrame):
+            new = (pdf["mask"].to_numpy()[1:] != pdf["mask"].to_numpy()[:-1]) | (pdf["part"].to_numpy()[1:] != pdf["part"].to_numpy()[:-1])
+            fp = pdf["fp"].to_numpy()
+            bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(fp)]))
+            found = pd.DataFrame(_links(fp.view(np.uint64), fp, bounds, distance), columns=["a", "b"], dtype="int64")
+            return found.assign(mask=pd.array([pd.NA] * len(found), dtype="Int64"))[["mask", "a", "b"]]
+
+        def anew(pdf: pd.DataFrame):
+            mask = int(pdf["mask"].iloc[0]) & (1 << 64) - 1
+            for more in _parts(~mask & (1 << 64) - 1, distance + 1):
+                longer = _signed(mask | more)
+                yield pd.DataFrame({"mask": pd.array([longer] * len(pdf), dtype="Int64"), "a": pdf["fp"].to_numpy() & longer, "b": pdf["fp"].to_numpy()})
+
+        def bucket(pdf, at):
+            return pdf["mask"].iloc[at], pdf["part"].iloc[at]
+
+        for pdf in full(batches):
+            if large is not None:  # the bucket that was too large goes on
+                own = ((pdf["mask"] == large[0]) & (pdf["part"] == large[1])).to_numpy()
+                if own.any():
+                    yield from anew(pdf[own])
+                if own.all():
+                    continue
+                large, pdf = None, pdf[~own]
             held.append(pdf)
             rows += len(pdf)
-            if rows >= 200_000:
+            if rows > limit:
                 one = pd.concat(held, ignore_index=True)
-                cut = int(np.searchsorted(one["key"].to_numpy(), one["key"].iloc[-1]))  # the last bucket may go on
+                tail = ((one["mask"] == bucket(one, -1)[0]) & (one["part"] == bucket(one, -1)[1])).to_numpy()  # it may go on
+                cut = len(one) - int(tail.sum())
                 if cut:
-                    yield flush(one.iloc[:cut])
-                held = [one.iloc[cut:]]
-                rows = len(held[0])
+                    yield links(one.iloc[:cut])
+                one = one.iloc[cut:]
+                held, rows = [one], len(one)
+                if rows > limit:
+                    large, held, rows = bucket(one, 0), [], 0
+                    yield from anew(one)
         if rows:
-            yield flush(pd.concat(held, ignore_index=True))
+            yield links(pd.concat(held, ignore_index=True))
+
+    dealt = keyed.repartition(partitions(keyed.sparkSession), "mask", "part").sortWithinPartitions("mask", "part", "fp")
+    return dealt.mapInPandas(run, "mask long, a long, b long")
+
 
-    keyed = classes.select(F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"), "fp", "rep")
-    dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInPandas(run, "a long, b long")
+def near_edges(classes: DataFrame, scratch: Scratch, blocks: int = BLOCKS, distance: int = DISTANCE, limit: int = BUCKET) -> DataFrame:
+    """classes(fp), distinct -> links (a, b) between fingerprints whose transitive closure is that of all links."""
+    keys = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for m in block_masks(blocks, distance)])
+    keyed, edges = classes.select("fp", F.explode(keys).alias("k")).select("k.mask", "k.part", "fp"), []
+    for level in itertools.count():
+        found = scratch.save(_compare(keyed, distance, limit), f"edges-{level}")
+        edges.append(found.where("mask is null").select("a", "b"))
+        again = found.where("mask is not null")
+        if not again.limit(1).count():
+            break
+        keyed = again.select("mask", F.col("a").alias("part"), F.col("b").alias("fp")).distinct()
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int | None = None, distance: int = DISTANCE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, keep, fp, group (equal for the rows that links connect) and component_id."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.save(fingerprints(docs, text, doc_id, keep), "prints")
+    classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    edges = near_edges(classes.select("fp"), scratch, blocks or blocks_for(classes.count(), distance), distance)
+    found = connected_components(edges, scratch)
+    of_class = scratch.save(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "groups")
+    least = scratch.save(of_class.groupBy("group").agg(F.min("least").alias("component_id")), "least")
+    named = scratch.save(of_class.join(least, "group").select("fp", "group", "component_id"), "named")
+    return prints.join(named, "fp", "left").select("doc_id", *keep, "fp", "group", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int | None = None, distance: int = DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
-    Equal fingerprints form a class of one key first, so copies are never paired. Texts without a
-    word have fingerprint zero and link like any other. Repeated rows give repeated rows; a null
-    doc_id keeps a null and never is a component's name unless all its members have none. An empty
-    table gives no rows. Other columns of docs are not read.
+    Equal fingerprints form a class of one key first, so copies are never paired. The number of blocks
+    follows from the number of fingerprints unless given; it changes the work and not the rows. Texts
+    without a word have fingerprint zero and link like any other. Repeated rows give repeated rows; rows
+    that share a doc_id and nothing else stay apart; a null doc_id keeps a null and never is a component's
+    name unless all its members have none. Very long texts are read whole. An empty table gives no rows.
+    Other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    prints = scratch.save(fingerprints(docs, text, doc_id), "prints")
-    classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = scratch.save(near_edges(classes.where("rep is not null"), spark, blocks, distance), "edges")
-    found = connected_components(edges, scratch)
-    named = scratch.save(classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = grouped(docs, text, doc_id, blocks, distance)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -64,10 +64,75 @@ def test_language_is_not_read_from_label_or_source(documents):
 
 
 def test_pieces_of_long_texts_give_the_same_counts(monkeypatch):
-    text = "".join(f"Wort{i} — " for i in range(300))
-    whole = language_id.ngram_counts(text)
-    monkeypatch.setattr(language_id, "PIECE", 97)
-    assert abs(language_id.ngram_counts(text).sum() - whole.sum()) < 0.1 * whole.sum()
+    for text in ("".join(f"Wort{i} — " for i in range(300)), "  a", "a  ", "ab" * 200, "a" + " " * 300 + "b", "é. " * 100):
+        monkeypatch.setattr(language_id, "PIECE", 1 << 20)
+        whole = language_id.ngram_counts(text)
+        for piece in (1, 2, 3, 97):
+            monkeypatch.setattr(language_id, "PIECE", piece)
+            assert (language_id.ngram_counts(text) == whole).all()
+
+
+def test_ngram_counts_against_plain_loops():
+    text, bins = "Ab, c\n\nd!", 1 << 15
+    symbols = [32, *map(ord, "ab"), 32, ord("c"), 32, ord("d"), 32, 32]
+    want = np.zeros(bins, np.int64)
+    for n in (1, 2, 3):
+        for k in range(len(symbols) - n + 1):
+            h = n * 0x85EBCA6B & 0xFFFFFFFF
+            for c in symbols[k : k + n]:
+                h = (h ^ c) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            want[h & bins - 1] += 1
+    assert (language_id.ngram_counts(text) == want).all()
+
+
+def test_ftrl_against_plain_loops():
+    """Follow-the-regularised-leader with L1 and L2, weight by weight."""
+    rng, bins, classes = np.random.default_rng(1), 12, 3
+    rows = [(np.sort(rng.choice(bins, 4, replace=False)), rng.random(4)) for _ in range(30)]
+    y = rng.integers(0, classes, 30)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.8, 0.1
+    z, n = [[0.0] * classes for _ in range(bins + 1)], [[0.0] * classes for _ in range(bins + 1)]
+
+    def w(i, c):
+        bound = 0 if i == bins else l1
+        return 0.0 if abs(z[i][c]) <= bound else -(z[i][c] - math.copysign(bound, z[i][c])) / ((beta + math.sqrt(n[i][c])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for r in order.permutation(30):
+            x = [*zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True), (bins, 1.0)]
+            logit = [sum(v * w(i, c) for i, v in x) for c in range(classes)]
+            e = [math.exp(v - max(logit)) for v in logit]
+            now = {(i, c): w(i, c) for i, _ in x for c in range(classes)}
+            for i, v in x:
+                for c in range(classes):
+                    g = v * (e[c] / sum(e) - (c == y[r]))
+                    z[i][c] += g - (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / alpha * now[i, c]
+                    n[i][c] += g * g
+    weights, bias = language_id.train_ftrl(rows, y, classes, bins, l1=l1)
+    assert np.allclose(weights, [[w(i, c) for c in range(classes)] for i in range(bins)]) and np.allclose(bias, [w(bins, c) for c in range(classes)])
+    assert (weights == 0).any()
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(2)
+    logits, y = rng.standard_normal((200, 3)) * 6, rng.integers(0, 3, 200)
+    loss = lambda t: -sum(math.log(math.exp(z[k] / t) / sum(math.exp(v / t) for v in z)) for z, k in zip(logits, y, strict=True))
+    t = language_id.temperature(logits, y)
+    assert loss(t) <= min(map(loss, np.exp(np.linspace(-3, 3, 50)))) + 0.05 and language_id.temperature(logits[:0], y[:0]) == 1.0
+
+
+def test_repeated_rows_do_not_swell_the_sample(table):
+    """One id and text that fill the table: drawn together, held to the bound."""
+    rows = [(2, "the same text again", "en")] * 900 + [(k, " ".join(words(k, 9)), "fr") for k in range(3, 30)]
+    out = language_id.predict_languages(table(rows), max_train=20).collect()
+    assert len(out) == len(rows)
+
+
+def test_language_columns_may_clash(documents):
+    d = documents.withColumn("__held", F.lit("x")).withColumn("held_out", F.lit("y")).withColumn("__text", F.lit("z"))
+    assert dict(language_id.predict_languages(d).dtypes)["held_out"] == "boolean" and by_id(language_id.predict_languages(d)) == by_id(language_id.predict_languages(documents))
 
 
 def test_token_counts(documents, table):
@@ -102,6 +167,25 @@ def test_cache_encodes_misses_once(spark, table, tmp_path, monkeypatch):
     assert spark.read.parquet(cache).count() == 5  # another tokenizer's counts are its own
 
 
+def test_query_keeps_counts_where_the_session_says(spark, tmp_path):
+    from lexgrain.llm import queries
+
+    spark.conf.set(queries.TOKEN_CACHE, str(tmp_path / "kept"))
+    try:
+        first = queries.op2_token_counts(spark, "/root/testdata/sf0.001").collect()
+        many = spark.read.parquet(str(tmp_path / "kept")).count()
+        assert sorted(first) == sorted(queries.op2_token_counts(spark, "/root/testdata/sf0.001").collect())
+        assert spark.read.parquet(str(tmp_path / "kept")).count() == many > 0
+    finally:
+        spark.conf.unset(queries.TOKEN_CACHE)
+
+
+def test_rows_without_an_id_have_draws_of_their_own(table):
+    rows = [(None, " ".join(words(k, 30))) for k in range(200)]
+    kept = [r.kept for r in mixing.mix(table(rows), budget=0.5).collect()]
+    assert 50 < sum(kept) < 150
+
+
 def test_raking_meets_its_targets(spark, documents):
     out = mixing.mix(documents, budget=0.4).persist()
     rows = [r for r in out.collect() if r.n_tokens]
@@ -167,6 +251,8 @@ def test_pieces_round_trip(documents, table):
     d = documents.unionByName(table([(9000 + k, t) for k, t in enumerate(["  two  spaces ", "tab\t\n\n", "日本語 🎉", "\x00", "a" * 3000])]))
     assert d.count() == pieces.digests(d, PIECES).where("round_trip").count()
     coder = pieces.Encoder(pieces.Lattice.load(PIECES))
+    marked = by_id(pieces.digests(table([(1, "a ▁ b"), (2, "a b"), (3, "▁")]), PIECES))
+    assert [marked[k].round_trip for k in (1, 2, 3)] == [False, True, False]
     for r in pieces.encoded(d, PIECES).join(d.select("doc_id", "text"), "doc_id").collect():
         assert coder.decode(r.piece_ids) == r.text
         for a in r.alternatives:
@@ -265,6 +351,25 @@ def test_quality_em_against_plain_loops(spark):
         rows[tuple(None if rng.random() < 0.2 else int((rng.random() < acc) == good) for acc in (0.9, 0.8, 0.7))] += 1
     df = spark.createDataFrame([(*k, n) for k, n in rows.items()], "v_a int, v_b int, v_c int, n long")
     prior, good, bad = quality.fit(df, names, 25)
+    q0, g0, b0 = 0.8, dict.fromkeys(names, 0.8), dict.fromkeys(names, 0.8)
+    for _ in range(25):
+        post = {}
+        for votes in rows:
+            odds = q0 / (1 - q0)
+            for r, v in zip(names, votes, strict=True):
+                odds *= 1 if v is None else g0[r] / (1 - b0[r]) if v else (1 - g0[r]) / b0[r]
+            post[votes] = odds / (1 + odds)
+        total = sum(rows.values())
+        old = [q0, *g0.values(), *b0.values()]
+        q0 = min(max(sum(n * post[k] for k, n in rows.items()) / total, 0.05), 0.95)
+        for at, r in enumerate(names):
+            voted = [(k, n) for k, n in rows.items() if k[at] is not None]
+            of = lambda hit, weight: sum(n * weight(post[k]) for k, n in voted if hit is None or k[at] == hit)  # noqa: E731, B023
+            g0[r] = min(max((of(1, lambda p: p) + 8) / (of(None, lambda p: p) + 10), 0.5), 0.99)
+            b0[r] = min(max((of(0, lambda p: 1 - p) + 8) / (of(None, lambda p: 1 - p) + 10), 0.02), 0.99)
+        if max(abs(a - b) for a, b in zip(old, [q0, *g0.values(), *b0.values()], strict=True)) < 1e-4:
+            break
+    assert prior == pytest.approx(q0) and good == pytest.approx(g0) and bad == pytest.approx(b0)
     assert prior == pytest.approx(0.7, abs=0.08) and good["a"] > good["c"] and good["a"] == pytest.approx(0.9, abs=0.06) and bad["a"] == pytest.approx(0.9, abs=0.1)
 
 
@@ -322,6 +427,52 @@ def test_simhash_buckets_lose_no_link():
     assert (got == comp).all()
 
 
+def components_of(fp):
+    """The least fingerprint that each can reach by links."""
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    comp = fp.view(np.int64).copy()
+    while True:
+        new = np.array([comp[near[k]].min() for k in range(len(fp))])
+        if (new == comp).all():
+            return comp
+        comp = new
+
+
+def test_simhash_splits_large_buckets(spark):
+    """Buckets over the limit are keyed anew by more bits; no link is lost, at any number of blocks."""
+    from lexgrain.llm.components import connected_components
+    from lexgrain.llm.scratch import Scratch
+
+    rng = np.random.default_rng(3)
+    fp = rng.integers(-(2**63), 2**63, 200, dtype=np.int64).view(np.uint64)
+    for seed in fp[:3]:
+        near = np.full(300, seed)
+        for _ in range(6):
+            near ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+        fp = np.concatenate([fp, near])
+    low = rng.integers(0, 1 << 22, 600).astype(np.uint64)  # all in one bucket of the high bits
+    fp = np.unique(np.concatenate([fp, low]))
+    want = {int(f): int(c) for f, c in zip(fp.view(np.int64), components_of(fp), strict=True)}
+    classes = spark.createDataFrame([(int(f),) for f in fp.view(np.int64)], "fp long")
+    for blocks, limit in ((6, 64), (8, 1 << 15), (9, 64)):
+        scratch = Scratch(spark, "t")
+        found = connected_components(simhash.near_edges(classes, scratch, blocks, 4, limit), scratch, f"cc{blocks}")
+        got = {r.node: r.component for r in found.collect()}
+        assert all(got.get(f, f) == c for f, c in want.items())
+
+
+def test_more_fingerprints_take_more_blocks():
+    assert [simhash.blocks_for(n) for n in (0, 1000, 10**8, 10**10, 10**12)] == [6, 6, 7, 8, 9]
+    assert len(simhash.block_masks(7)) == 35 and all(m.bit_count() >= 27 for m in simhash.block_masks(7))
+
+
+def test_simhash_keeps_rows_that_share_an_id_apart(table):
+    rows = [(7, "a b c d e"), (7, "quite another text"), (8, "Quite another text"), (None, "a b c d e")]
+    got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(table(rows)).collect())
+    assert got == [("7", 7), ("7", 7), ("8", 7), ("None", 7)]
+    assert len({r.group for r in simhash.grouped(table(rows)).collect()}) == 2
+
+
 def test_pitman_yor(documents):
     got = by_id(pitman_yor.score(documents))
     text = {r.doc_id: [*(r.text or "").encode().lower().split(), b"\n"] for r in documents.select("doc_id", "text").collect()}

@@ -222,6 +222,24 @@ def test_pipeline_run(spark):
 
 @pytest.mark.parametrize("rows", [[], HARD, [(k, " ".join(words(k % 3, 60))) for k in range(30)]])
 def test_pipeline_on_hard_tables(spark, table, rows):
-    docs = table(rows, ("digest", "score", "row", "fp"))
-    for d in stages(spark, docs)[:-1]:
+    docs = table(rows, ("digest", "score", "row", "fp", "key", "mark", "starts", "group", "kept", "__key", "__mark", "__row", "__keep", "__starts", "__id"))
+    *kept, ids = stages(spark, docs)
+    for d in kept:
         assert d.columns == docs.columns
+    assert ids.columns == ["doc_id", "piece_ids", "best_score", "n_alternatives"] and ids.count() == kept[-1].count()
+
+
+def test_rows_without_or_with_repeated_ids_pass_every_stage(spark, table, monkeypatch):
+    """Each row is followed by its text: only what a stage is there to remove goes."""
+    monkeypatch.setattr(corpus_pipeline.mixing, "TEMPERATURE", {"source": 1.0, "lang": 1.0, "topic": 1.0})
+    mix = corpus_pipeline.mixing.mix
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", lambda docs, **kw: mix(docs, budget=1.0, **kw))
+    texts = {k: " ".join(words(k, 40, 400)) for k in range(40)}
+    rows = [(None if k < 10 else 7 if k < 20 else k, t) for k, t in texts.items()]
+    rows += [(None, texts[0]), (None, texts[30]), (99, texts[5]), (7, texts[12])]  # copies
+    languages, distinct, cut, mixed, encoded = stages(spark, table(rows))
+    whole = lambda d: sorted((str(r.doc_id), r.text) for r in d.collect())
+    assert whole(languages) == sorted((str(i), t) for i, t in rows)
+    want = sorted((str(99 if k == 5 else None if k < 10 else 7 if k < 20 else k), t) for k, t in texts.items())
+    assert whole(distinct) == want and whole(cut) == want and whole(mixed) == want
+    assert sorted(str(r.doc_id) for r in encoded.collect()) == sorted(i for i, _ in want)

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from lexgrain.operators.index import Index
 from lexgrain.operators.output import run_query
+from lexgrain.operators.search import SymbolWeights
 from lexgrain.sources.files import read_tree
 
 
@@ -28,6 +29,8 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--cursor")
     for name in ("must", "should", "not", "lang", "ext", "path-prefix", "symbol"):
         q.add_argument(f"--{name}", default="")
+    q.add_argument("--near", action="append", default=[], help="TERM,TERM:SCOPE:WINDOW")
+    q.add_argument("--weights", help="a symbol weights file, or 'none'")
     q.add_argument("--max-results", type=int, default=20)
     q.add_argument("--max-hits", type=int, default=10)
     return top
@@ -49,9 +52,11 @@ def main(args: list[str] | None = None) -> int:
     else:
         split = lambda s: s.split(",") if s else []
         data = {k: split(getattr(a, k)) for k in ("must", "should", "not", "lang", "ext", "path_prefix", "symbol")}
+        data["near"] = [{"terms": t.split(","), "scope": scope, "window": int(w)} for t, scope, w in (x.split(":") for x in a.near)]
         data |= {"budget": {"max_results": a.max_results, "max_hits": a.max_hits}, "options": {"cursor": a.cursor} if a.cursor else {}}
     try:
-        print(json.dumps(run_query(Index.load(spark, a.index), data), ensure_ascii=False))
+        weights = None if a.weights is None else SymbolWeights.disabled() if a.weights == "none" else SymbolWeights.load(spark, a.weights)
+        print(json.dumps(run_query(Index.load(spark, a.index), data, weights), ensure_ascii=False))
     except ValueError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 2

@@ -12,6 +12,7 @@ from lexgrain.functions import text as T
 from lexgrain.operators.index import K1, B, Index
 from lexgrain.operators.search import SHOULD_BOOST, Query, Search, SymbolWeights
 
+# What a task of each difficulty weighs.
 DIFFICULTY_WEIGHT = {"easy": 1.0, "medium": 1.5, "hard": 2.0}
 
 
@@ -49,6 +50,21 @@ def relaxed_columns(terms: Column, ratio: float, max_terms: int) -> tuple[Column
     return F.slice(few, 1, F.greatest(split, F.lit(0))), should, F.when(n > split, 1).otherwise(0)
 
 
+def variant_columns(terms: Column, ratio: float, max_terms: int) -> tuple[Column, Column]:
+    """relax_search_variant() on data: (must, should) of an array of terms."""
+    must, should, _ = relaxed_columns(terms, ratio, max_terms)
+    return (must, should) if ratio else (F.slice(terms, 1, max_terms), F.array().cast("array<string>"))
+
+
+def ablation_columns(terms: Column, symbols: Column) -> Column:
+    """ablation_variants() on data: an array of (variant, must, should, symbol, near_terms)."""
+    none = F.array().cast("array<string>")
+    head, tail = F.slice(terms, 1, 2), F.slice(terms, 3, F.greatest(F.size(terms), F.lit(1)))
+    near = F.when(F.size(terms) >= 2, head).otherwise(none)
+    row = lambda name, should, symbol, by: F.struct(F.lit(name).alias("variant"), terms.alias("must"), should.alias("should"), symbol.alias("symbol"), by.alias("near_terms"))
+    return F.array(row("bm25_only", none, none, none), row("plus_symbol", none, symbols, none), row("plus_near", none, symbols, near), row("plus_prior", F.when(F.size(tail) > 0, tail).otherwise(head), symbols, near))
+
+
 def ablation_variants(terms: list[str], symbols: list[str]) -> dict[str, Query]:
     head, tail = terms[:2], terms[2:]
     near = [{"terms": terms[:2], "scope": "line_window", "window": 20}] if len(terms) >= 2 else []
@@ -181,8 +197,9 @@ def confidence(rows: DataFrame, value: str, *by: str) -> DataFrame:
 def share_of(rows: DataFrame, key: str) -> DataFrame:
     """(key, n, share, dominant): dominant is a share over 0.6."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(key, "n", (F.col("n") / total).alias("share")).withColumn("dominant", F.col("share") > 0.6)
+    total = counts.agg(F.sum("n").alias("total")).select("total", F.lit(1).alias("__one"))  # one row
+    shares = counts.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
+    return shares.select(key, "n", (F.col("n") / F.col("total")).alias("share")).withColumn("dominant", F.col("share") > 0.6)
 
 
 def tool_calls(ranks: DataFrame, inspect_limit: int = 5) -> DataFrame:
@@ -215,6 +232,7 @@ def merged_summary(summaries: DataFrame) -> DataFrame:
 # Grids.
 
 
+# The grids.
 def grid(k1=(0.8, 1.0, 1.2, 1.5, 2.0), b=(0.3, 0.5, 0.75, 0.9, 1.0), min_match_ratio=(0.0, 0.25, 0.5, 0.75), max_terms=(2, 3, 4)) -> list[dict]:
     """300 configurations in a fixed order, which also breaks ties."""
     return [dict(zip(("cfg", "k1", "b", "min_match_ratio", "max_terms"), (i, *c), strict=True)) for i, c in enumerate(itertools.product(k1, b, min_match_ratio, max_terms))]
@@ -247,7 +265,9 @@ def grid_scores(features: DataFrame, tasks: DataFrame, configs: DataFrame, top:
     head = F.when(terms < 2, terms).otherwise(F.greatest(F.lit(1), F.floor(terms * (1.0 - F.col("min_match_ratio"))).cast("int")))
     must = F.col("term_no") <= F.col("head")
     per = few.withColumn("s", score).withColumn("head", head).withColumn("need", (terms > head).cast("int"))
-    docs = per.groupBy("cfg", "task_id", "doc_id", "head", "need").agg(F.sum(F.when(must, F.col("s")).otherwise(F.col("s") * 0.5)).alias("score"), F.sum(must.cast("int")).alias("musts"), F.sum((~must).cast("int")).alias("shoulds"))
+    part = F.struct("term_no", F.when(must, F.col("s")).otherwise(F.col("s") * 0.5).alias("s"))
+    total = F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda a, x: a + x["s"])  # in the query's order: the same sum in each run
+    docs = per.groupBy("cfg", "task_id", "doc_id", "head", "need").agg(total.alias("score"), F.sum(must.cast("int")).alias("musts"), F.sum((~must).cast("int")).alias("shoulds"))
     kept = docs.where((F.col("musts") == F.col("head")) & (F.col("shoulds") >= F.col("need"))).withColumn("points", F.least(F.lit(1000.0), F.floor(F.col("score") * 100)).cast("int"))
     # The rank of the gold document is one more than the documents ahead of it: a count, not a sort of all results.
     gold = kept.join(tasks.select("task_id", F.col("gold_doc").alias("doc_id")), ["task_id", "doc_id"]).select("cfg", "task_id", F.col("doc_id").alias("gold_doc"), F.col("points").alias("gold_points"))

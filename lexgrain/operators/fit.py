@@ -11,8 +11,11 @@ from lexgrain.operators.evaluate import harness_terms
 from lexgrain.operators.index import Index
 from lexgrain.operators.search import Query, Search, SymbolWeights
 
+# The regularisations tried, and the descent's steps.
 L2_CHOICES = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 STEPS, RATE, DECAY, LEAST_UPDATE = 2000, 0.4, 0.01, 1e-7
+#: Distinct samples that the driver's descent takes at most; fit_optimum runs on the executors and has no such limit.
+MOST_SAMPLES = 1_000_000
 
 
 def collect_samples(index: Index, tasks: list[dict], top: int = 50) -> DataFrame:
@@ -58,8 +61,10 @@ def fit_gradient(rows: DataFrame, width: int, l2: float, steps: int = STEPS, lab
     few = rows.groupBy("features", label).agg(F.count("*").cast("double").alias("n")).persist()
     total = few.agg(F.sum("n")).first()[0] or 1.0
     # The distinct rows of tasks' top results are a few thousand, a count that grows with tasks, not with documents.
-    data = [(r["features"], r[label], r["n"]) for r in few.toLocalIterator()]
+    data = [(r["features"], r[label], r["n"]) for r in few.orderBy("features", label).limit(MOST_SAMPLES + 1).toLocalIterator()]
     few.unpersist()
+    if len(data) > MOST_SAMPLES:
+        raise ValueError("too many distinct samples for the driver: use fit_optimum")
     import numpy as np
 
     x, y, n = (np.array([d[k] for d in data], float) for k in range(3))

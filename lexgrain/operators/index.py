@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as T
 from lexgrain.operators import regions as R
+from lexgrain.sources import shared
 
+META = "source_root string, k1 double, b double, n long, avg double, fingerprint string"
 K1, B = 1.2, 0.75
 DOCUMENT = ["doc_id", "path", "lang", "size_bytes", "line_count", "doc_length", "content_hash", "block_regions", "symbol_regions"]
 
@@ -27,7 +29,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "path").withColumn("__part", F.spark_partition_id()).persist()
+    # Written: range borders are drawn by sampling, so a second run of the plan could deal rows otherwise.
+    dealt = shared.save(rows.repartitionByRange(n, "path").withColumn("__part", F.spark_partition_id()), "numbered")
     before, sizes = 0, {}
     for part, many in sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect()):  # a row for each partition
         sizes[part], before = before, before + many
@@ -93,6 +96,7 @@ class Index:
     source_root: str = ""
     k1: float = K1
     b: float = B
+    known: dict = field(default_factory=dict)  # totals and fingerprint, once they are known
 
     @classmethod
     def build(cls, raw: DataFrame, source_root: str = "", parse: bool = True, k1: float = K1, b: float = B) -> Index:
@@ -102,21 +106,32 @@ class Index:
     def stats(self) -> DataFrame:
         return corpus_stats(self.documents)
 
+    def totals(self) -> tuple[int, float]:
+        """Documents, and the mean of their lengths."""
+        if "n" not in self.known:
+            row = self.documents.agg(F.count("*").alias("n"), F.avg(F.col("doc_length").cast("double")).alias("avg")).first()
+            self.known |= {"n": row["n"], "avg": row["avg"] or 0.0}
+        return self.known["n"], self.known["avg"]
+
     def fingerprint(self) -> str:
-        return fingerprint(self.documents).first()["fingerprint"]
+        if "fingerprint" not in self.known:
+            self.known["fingerprint"] = fingerprint(self.documents).first()["fingerprint"]
+        return self.known["fingerprint"]
 
     def save(self, path: str) -> None:
-        """Parquet: postings in order of term within files, so that row-group statistics skip other terms."""
+        """Parquet: postings in order of term within files, so that row-group statistics skip other terms; totals and fingerprint beside them."""
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         n = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.postings.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        meta = self.documents.sparkSession.createDataFrame([(self.source_root, self.k1, self.b)], "source_root string, k1 double, b double")
+        done = Index(self.documents.sparkSession.read.parquet(f"{path}/documents"), self.postings)
+        meta = self.documents.sparkSession.createDataFrame([(self.source_root, self.k1, self.b, *done.totals(), done.fingerprint())], META)
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        meta = spark.read.schema("source_root string, k1 double, b double").json(f"{path}/meta").first()
-        return cls(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings"), meta["source_root"] or "", meta["k1"], meta["b"])
+        meta = spark.read.schema(META).json(f"{path}/meta").first()
+        known = {k: meta[k] for k in ("n", "avg", "fingerprint") if meta[k] is not None}
+        return cls(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings"), meta["source_root"] or "", meta["k1"], meta["b"], known)
 
     def updated(self, raw: DataFrame, parse: bool = True) -> Index:
         """Only added and changed paths are read again; removed ones go. Kept documents keep their ids, new ones follow."""

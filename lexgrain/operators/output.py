@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexgrain.operators.index import Index
 from lexgrain.operators.search import Query, SymbolWeights, search_page
 
+# The contract's version, keys and limits.
 VERSION = "result.v1"
 BUDGET = {"max_bytes": 8192, "max_results": 20, "max_hits": 10, "max_excerpt": 256}
 
@@ -66,6 +67,12 @@ def run_query(index: Index, data: dict, weights: SymbolWeights | None = None, st
     return format_results(page.results, budget, cursor, cursor is not None)[0]
 
 
+def path_numbers(rows: DataFrame, path: str = "path", place: str = "rank") -> DataFrame:
+    """(path, pi): the path dictionary, numbered by each path's first place. One row for each path is ranked, those of a result."""
+    first = rows.groupBy(path).agg(F.min(place).alias("__first"))
+    return first.select(path, (F.row_number().over(Window.orderBy("__first")) - 1).cast("long").alias("pi"))
+
+
 def entry_bytes(rows: DataFrame, max_excerpt: int = 256) -> DataFrame:
     """rows(rank, doc_id, path, score, line_count, content_hash) -> adds n_bytes, what a result adds to the object.
 

@@ -7,6 +7,7 @@ need no exchange. Braces and Python syntax trees need a stack or a parser: one A
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lexgrain.functions import text as T
 
 BRACED = ("c", "cpp", "cxx", "cc", "rust", "go", "java", "javascript", "typescript")
+BRACES = re.compile("[{}]|\n+")
 REGIONS = "array<struct<start:int,end:int>>"
 
 
@@ -34,7 +36,7 @@ def _places(flags: Column, test=lambda x, i: x) -> Column:
 
 def full_lines(lines: Column) -> Column:
     """Which lines are not blank."""
-    return F.transform(lines, lambda x: x.rlike(r"\S"))
+    return F.transform(lines, lambda x: ~T.is_blank(x))
 
 
 def blank_line_blocks(full: Column) -> Column:
@@ -55,12 +57,12 @@ def declared_symbols(lines: Column) -> Column:
 def brace_regions(source: str) -> list[dict]:
     """Lines of matched braces, nested ones too; an unmatched closing brace counts for nothing."""
     out, stack, line = [], [], 1
-    for ch in source:
-        if ch == "\n":
-            line += 1
-        elif ch == "{":
+    for mark in BRACES.findall(source):  # the braces and the newlines between them, nothing else
+        if mark == "{":
             stack.append(line)
-        elif ch == "}" and stack:
+        elif mark != "}":
+            line += len(mark)
+        elif stack:
             out.append((stack.pop(), line))
     return [{"start": a, "end": b} for a, b in sorted(out)]
 

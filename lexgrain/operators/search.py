@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as T
 from lexgrain.operators import index as I
 from lexgrain.operators import regions as R
+from lexgrain.sources import shared
 
 SHOULD_BOOST = 0.5
 CURSOR = re.compile(r"cur_(\d+)_([a-f0-9]+)\Z")
@@ -40,14 +42,26 @@ class SymbolWeights:
 
     @classmethod
     def from_dict(cls, data: dict) -> SymbolWeights:
-        """From a weights file; a broken one counts as disabled."""
-        try:
-            return cls({str(k).strip().lower(): float(v) for k, v in data.get("by_lang", {}).items()}, float(data.get("global_weight", 0.0)))
-        except (AttributeError, TypeError, ValueError):
-            return cls.disabled()
+        """Of a weights file; languages whose weight is no number are left out."""
+        given = data.get("by_lang")
+        weights = {}
+        for lang, value in given.items() if isinstance(given, dict) else ():
+            with contextlib.suppress(TypeError, ValueError):
+                weights[str(lang).lower()] = float(value)
+        return cls(weights, float(data.get("global_weight", 0.0)))
 
     def to_dict(self) -> dict:
-        return {"version": "symbol_language_weights.v1", "global_weight": self.default, "by_lang": dict(self.by_lang)}
+        return {"version": "symbol_language_weights.v1", "global_weight": self.default, "by_lang": dict(sorted(self.by_lang.items())), "metadata": {}}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SymbolWeights:
+        data = json.loads(shared.get(spark, path))
+        if not isinstance(data, dict):
+            raise ValueError("a weights file holds an object")
+        return cls.from_dict(data)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        shared.put(spark, path, json.dumps(self.to_dict(), ensure_ascii=False, indent=2).encode())
 
     def column(self, lang: Column) -> Column:
         if not self.by_lang:
@@ -115,13 +129,13 @@ def _near(clause) -> Near | None:
     """None for a malformed clause, which is dropped."""
     if isinstance(clause, Near):
         return clause
-    if not isinstance(clause, dict) or not isinstance(clause.get("terms"), list | tuple):
+    if not isinstance(clause, dict):
         return None
-    terms = tuple(t.strip().lower() for t in clause["terms"] if isinstance(t, str) and t.strip())
-    window = clause.get("window", 0)
-    if len(terms) < 2 or not isinstance(window, int):
+    terms, scope, window = (clause.get(k) for k in ("terms", "scope", "window"))
+    if not (isinstance(terms, list | tuple) and isinstance(scope, str) and isinstance(window, int)):
         return None
-    return Near(terms, str(clause.get("scope", "")), max(0, window))
+    named = tuple(T.normalize_term(t) for t in terms if isinstance(t, str) and t.strip())
+    return Near(named, scope, max(0, window)) if len(named) > 1 else None
 
 
 def dsl_faults(data: dict) -> list[str]:
@@ -180,7 +194,7 @@ class Search:
     def scan(cls, docs: DataFrame, query: Query, **kw) -> Search:
         """Without an index, over docs(doc_id, path, lang, text): term counts are array functions of the row, no exchange.
 
-        The small projection is kept, as it is read for the statistics and for the ranking.
+        The small projection is kept, as it is read for the statistics and for the ranking; close() lets it go.
         """
         terms = query.terms()
         rows = I.measured(docs).withColumn("__tokens", T.tokens(F.col("text"))).withColumn("doc_length", F.size("__tokens").cast("long"))
@@ -198,7 +212,7 @@ class Search:
 
     @classmethod
     def indexed(cls, index: I.Index, query: Query, **kw) -> Search:
-        """Over an index: the postings of the query's terms only, pivoted by document."""
+        """Over an index: the postings of the query's terms only, pivoted by document; N and the lengths' mean are the index's own."""
         terms = query.terms()
         found = index.postings.where(F.col("term").isin(terms)) if terms else index.postings.where(F.lit(False))
         columns = [c for i, t in enumerate(terms) for c in (F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf_{i}"), F.max(F.when(F.col("term") == t, F.col("lines"))).alias(f"lines_{i}"))]
@@ -206,7 +220,12 @@ class Search:
         if terms:
             features = features.join(found.groupBy("doc_id").agg(*columns), "doc_id", "left")
             features = features.withColumns({f"tf_{i}": F.coalesce(f"tf_{i}", F.lit(0)) for i in range(len(terms))})
-        return cls(query, features, terms, cls._stats(features, terms), **({"k1": index.k1, "b": index.b} | kw))
+        df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()} if terms else {}  # a row for each term
+        n, avg = index.totals()
+        return cls(query, features, terms, {"n": n, "avg": avg, "df": {t: df.get(t, 0) for t in terms}}, **({"k1": index.k1, "b": index.b} | kw))
+
+    def close(self) -> None:
+        self.features.unpersist()
 
     @staticmethod
     def _stats(features: DataFrame, terms: list[str]) -> dict:

@@ -6,13 +6,15 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrain.sources import shared
+
+# The defaults.
 DEFAULT = {"version": "1.0", "repositories": [], "grid": {"k1": [0.8, 1.0, 1.2, 1.5, 2.0], "b": [0.3, 0.5, 0.75, 0.9, 1.0], "min_match_ratio": [0.0, 0.25, 0.5, 0.75], "max_terms": [2, 3, 4]}, "difficulty_weights": {"easy": 1.0, "medium": 1.5, "hard": 2.0}}
 
 
-def read_config(path: str) -> dict:
+def read_config(spark: SparkSession, path: str) -> dict:
     """A configuration over the defaults: JSON, or YAML where a YAML reader is installed."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+    text = shared.get(spark, path).decode()
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml

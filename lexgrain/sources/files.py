@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from lexgrain.functions import text as T
 from lexgrain.operators import regions as R
 from lexgrain.operators.contracts import TASK
 from lexgrain.operators.index import B, K1, Index
+from lexgrain.sources import shared
 
 # Folders that hold no sources of their own.
 SKIPPED = (".git", ".hg", ".svn", ".idea", ".vscode", "__pycache__", "node_modules", "target", "dist", "build", ".venv", "venv")
@@ -25,23 +29,44 @@ def default_patterns() -> list[str]:
 
 def _listing(spark: SparkSession, root: str, patterns: list[str] | None) -> DataFrame:
     names = ",".join(p.removeprefix("**/") for p in patterns or default_patterns())
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + names + "}").load(root)
-    start = len(root.rstrip("/").split("://")[-1]) + 2
-    return files.withColumn("rel", F.substring(F.regexp_replace("path", "^[a-z0-9+.-]+:/+", "/"), start, 1 << 16))
+    # A file that goes or breaks while it is read is left out, and does not fail the job.
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    files = _with_empty(reader.option("pathGlobFilter", "{" + names + "}").load(root))
+    scheme = "^[a-z0-9+.-]+:/+"
+    start = len(re.sub(scheme, "/", root).rstrip("/")) + 2
+    return files.withColumn("rel", F.substring(F.regexp_replace("path", scheme, "/"), start, 1 << 16))
+
+
+def _with_empty(files: DataFrame) -> DataFrame:
+    """The files with the empty ones, which Spark's readers pass over: of what was listed and not read, those of no length."""
+    spark = files.sparkSession
+    rows = files.select("path", "length", "content")
+    listed = spark.createDataFrame([(x, re.sub("^[a-z0-9+.-]+:/+", "/", unquote(x))) for x in files.inputFiles()], "name string, plain string")
+    missed = listed.join(rows.select(F.regexp_replace("path", "^[a-z0-9+.-]+:/+", "/").alias("plain")), "plain", "left_anti").collect()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["name"])) for r in missed]
+    empty = [(p.toString(), 0, b"") for p in at if p.getFileSystem(conf).getFileStatus(p).getLen() == 0]
+    return rows.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else rows
 
 
 def read_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, skip: bool = False) -> DataFrame:
     """(path, content, lang) of the files that match; bytes that are no UTF-8 are left out, as are unreadable files.
 
-    skip=True leaves out vendored folders and documentation, as corpus balancing does.
+    Valid content is taken as it is, a U+FFFD of its own too; only broken content is repaired. skip=True leaves out vendored folders and documentation, as corpus balancing does.
     """
     files = _listing(spark, root, patterns)
     if skip:
         files = files.where(~F.col("rel").rlike(_skipped())).where(T.language_of(T.suffix(F.col("rel")), T.CODE_LANGUAGE_OF_SUFFIX).isNotNull())
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
+    raw = F.col("content").cast("string")
+    broken = ~F.is_valid_utf8(raw)
+    text = F.when(broken, F.pandas_udf(_repair_batch, "string")(F.when(broken, F.col("content")))).otherwise(raw)
     return files.select(F.col("rel").alias("path"), text.alias("content"), T.language_of(T.suffix(F.col("rel"))).alias("lang"))
 
 
+def _repair_batch(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
 def _skipped() -> str:
     return "(^|/)(" + "|".join(s.replace(".", "\\.") for s in SKIPPED) + ")/"
 
@@ -54,10 +79,15 @@ def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_counts(spark: SparkSession, root: str) -> DataFrame:
-    """(status, n): how many files an index of the tree takes and leaves."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    status = F.when(F.col("path").rlike(_skipped()), "skipped").when(T.language_of(T.suffix(F.col("path")), T.CODE_LANGUAGE_OF_SUFFIX).isNull(), "skipped").otherwise("indexed")
-    return files.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    """(status, n): how many files an index of the tree takes, leaves by name, or cannot read."""
+    listed = _with_empty(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)).select("path")
+    skipped = F.col("path").rlike(_skipped()) | T.language_of(T.suffix(F.col("path")), T.CODE_LANGUAGE_OF_SUFFIX).isNull()
+    taken = listed.where(~skipped)
+    whole = _with_empty(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root))
+    read = whole.where(F.octet_length("content") == F.col("length")).select("path")
+    errors = taken.join(read, "path", "left_anti").select(F.lit("errors").alias("status"))
+    rows = listed.where(skipped).select(F.lit("skipped").alias("status")).unionByName(taken.join(read, "path", "left_semi").select(F.lit("indexed").alias("status"))).unionByName(errors)
+    return rows.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def read_manifest(spark: SparkSession, *paths: str) -> DataFrame:
@@ -84,13 +114,12 @@ def select_corpora(corpora: DataFrame, tasks: DataFrame | None = None, repos: li
 
 
 def export_index(index: Index, path: str) -> None:
-    """The documented JSON layout in one local file, for exchange of small indices; tables are the format to work with."""
+    """The documented JSON layout in one file, for exchange of small indices: the driver holds it. Tables are the format to work with."""
     docs = [r.asDict(True) for r in index.documents.orderBy("doc_id").toLocalIterator()]
     terms = {r["term"]: {"df": len(r["p"]), "postings": [{"doc_id": p["doc_id"], "tf": p["tf"], "lines": list(p["lines"])} for p in r["p"]]} for r in index.postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "lines"))).alias("p")).orderBy("term").toLocalIterator()}
     s = index.stats().first()
     data = {"version": "inverted.v2", "source_root": index.source_root, "documents": docs, "index": terms, "stats": {**s.asDict(), "corpus_fingerprint": index.fingerprint()}, "bm25": {"k1": index.k1, "b": index.b}}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(data, f, indent=2)
+    shared.put(index.documents.sparkSession, path, json.dumps(data, indent=2).encode())
 
 
 def import_index(spark: SparkSession, path: str) -> Index:

@@ -9,8 +9,9 @@ from lexgrain.functions import text as T
 from lexgrain.operators import balance, contracts, evaluate, fit
 from lexgrain.operators import index as I
 from lexgrain.operators import regions as R
-from lexgrain.operators.output import format_results, run_query, within_budget
+from lexgrain.operators.output import format_results, path_numbers, run_query, within_budget
 from lexgrain.operators.search import Query, Search, SymbolWeights, result_rows
+from lexgrain.sources import shared
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +39,19 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "lang", F.coalesce("text", F.lit("")).alias("text"))
 
 
+_SAVED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The index of that corpus, built and written once in a session, and again when the table's files change."""
+    key, files = (spark.sparkContext.applicationId, sf_dir), shared.versions(spark, f"{sf_dir}/documents.parquet")
+    if _SAVED.get(key, ("", ""))[0] != files:
+        at = shared.path(spark, "index")
+        I.Index.build(corpus(spark, sf_dir).withColumnRenamed("text", "content"), parse=False).save(at)
+        _SAVED[key] = files, at
+    return I.Index.load(spark, _SAVED[key][1])
+
+
 # SQL parts. Lists of tokens without look-around: camel-case parts are set apart by spaces first.
 def _parts(w: str) -> str:
     return f"regexp_extract_all(regexp_replace({w}, '([A-Z][a-z]+)', ' \\1 ', 'g') || ' ', '[A-Z][a-z]+|[a-z]+|[A-Z]+ ')"
@@ -48,9 +62,10 @@ def _tokens(s: str) -> str:
 
 
 DOCS = "d AS (SELECT doc_id, concat(source, '/doc_', doc_id, '.', lang) AS path, lang, coalesce(text, '') AS text FROM documents)"
-DECLARED = r"(?i)^\s*(def|class|fn|func|function|interface|struct|enum|impl|type)\b"
+WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+DECLARED = rf"(?i)^[{WHITE}]*(def|class|fn|func|function|interface|struct|enum|impl|type)\b"
 LINES = f"""ln AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS s FROM d),
-bl AS (SELECT *, regexp_matches(s, '\\S') AS ok, sum((NOT regexp_matches(s, '\\S'))::INT) OVER (PARTITION BY doc_id ORDER BY line) AS g FROM ln),
+bl AS (SELECT *, regexp_matches(s, '[^{WHITE}]') AS ok, sum((NOT regexp_matches(s, '[^{WHITE}]'))::INT) OVER (PARTITION BY doc_id ORDER BY line) AS g FROM ln),
 blocks0 AS (SELECT doc_id, min(line) AS s, max(line) AS e FROM bl WHERE ok GROUP BY doc_id, g),
 n AS (SELECT doc_id, max(line) AS n_lines FROM ln GROUP BY doc_id),
 blocks AS (SELECT * FROM blocks0 UNION ALL SELECT doc_id, 1, n_lines FROM n WHERE doc_id NOT IN (SELECT doc_id FROM blocks0)),
@@ -96,7 +111,7 @@ SELECT {columns} FROM (SELECT doc_id, path, lang, text, least(1000, greatest(0,
 
 def _search(f_name: str, sql: str, **q):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Search.scan(corpus(spark, sf_dir), Query.of(**q)).scored().select("doc_id", "path", "score")
+        return Search.indexed(saved_index(spark, sf_dir), Query.of(**q)).scored().select("doc_id", "path", "score")
 
     run.__name__ = f_name
     query(sql)(run)
@@ -121,38 +136,36 @@ _search("symbol_filter", _search_sql(symbol=("the", "that"), weight="-0.71239499
 @query(_search_sql(must=("this",), symbol=("the", "that"), weight="CASE lang WHEN 'en' THEN 2.5::DOUBLE WHEN 'fr' THEN -1.0::DOUBLE ELSE 0.25::DOUBLE END"))
 def symbol_weighted(spark, sf_dir):
     weights = SymbolWeights({"en": 2.5, "fr": -1.0}, 0.25)
-    return Search.scan(corpus(spark, sf_dir), Query.of(must=["this"], symbol=["the_that"]), weights=weights).scored().select("doc_id", "path", "score")
+    return Search.indexed(saved_index(spark, sf_dir), Query.of(must=["this"], symbol=["the_that"]), weights=weights).scored().select("doc_id", "path", "score")
 
 
 @query(_search_sql(must=("the", "that"), columns="doc_id, path, score", tail="ORDER BY score DESC, doc_id LIMIT 10 OFFSET 20"))
 def topk_page(spark, sf_dir):
-    return Search.scan(corpus(spark, sf_dir), Query.of(must=["the", "that"])).ranked(10, 20).select("doc_id", "path", "score")
+    return Search.indexed(saved_index(spark, sf_dir), Query.of(must=["the", "that"])).ranked(10, 20).select("doc_id", "path", "score")
 
 
 @query(_search_sql(must=("the", "that"), columns="doc_id, path, score, 1 AS from_line, least(50, len(string_split(text, chr(10))))::INT AS to_line, len(string_split(text, chr(10)))::INT AS bound_end, printf('doc_%08x', doc_id) AS doc_handle, printf('span_%08x_001', doc_id) AS span_handle, substr(sha256(text), 1, 16) AS digest, 1 AS n_hits", tail="ORDER BY score DESC, doc_id LIMIT 20"))
 def result_columns(spark, sf_dir):
-    rows = result_rows(Search.scan(corpus(spark, sf_dir), Query.of(must=["the", "that"])).ranked(20))
+    rows = result_rows(Search.indexed(saved_index(spark, sf_dir), Query.of(must=["the", "that"])).ranked(20))
     return rows.select("doc_id", "path", "score", "from_line", "to_line", "bound_end", "doc_handle", "span_handle", "digest", F.size("hits").alias("n_hits"))
 
 
 @query(f"WITH s AS ({_search_sql(must=('the', 'that'), columns='doc_id, path, score, len(string_split(text, chr(10))) AS line_count', tail='ORDER BY score DESC, doc_id LIMIT 20')}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s), z AS (SELECT *, 211 + length((rank - 1)::VARCHAR) + 2 * length(score::VARCHAR) + strlen(path) + 2 + length(least(50, line_count)::VARCHAR) + length(line_count::VARCHAR) + strlen(path) + 2 + CASE WHEN rank > 1 THEN 4 ELSE 0 END AS n_bytes FROM r), e AS (SELECT *, 176 + sum(n_bytes) OVER (ORDER BY rank) AS emitted FROM z) SELECT doc_id, rank, emitted::BIGINT AS emitted FROM e WHERE emitted <= 4000")
 def byte_budget(spark, sf_dir):
-    top = Search.scan(corpus(spark, sf_dir), Query.of(must=["the", "that"])).ranked(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
+    top = Search.indexed(saved_index(spark, sf_dir), Query.of(must=["the", "that"])).ranked(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
     return within_budget(top, 4000, {"max_bytes": 8192}).select("doc_id", "rank", F.col("emitted").cast("long").alias("emitted"))
 
 
 @query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_search_sql(must=('the', 'that'))})), p AS (SELECT split_part(path, '/', 1) AS folder, min(rank) AS first_rank FROM r GROUP BY 1) SELECT folder, row_number() OVER (ORDER BY first_rank) - 1 AS pi FROM p")
 def path_dictionary(spark, sf_dir):
-    top = Search.scan(corpus(spark, sf_dir), Query.of(must=["the", "that"])).scored()
-    rank = F.struct((-F.col("score")).alias("s"), "doc_id")
-    first = top.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.min(rank).alias("first"))
-    return first.select("folder", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("pi"))
+    top = Search.indexed(saved_index(spark, sf_dir), Query.of(must=["the", "that"])).scored()
+    place = F.struct((-F.col("score")).alias("s"), "doc_id")
+    return path_numbers(top.select(F.substring_index("path", "/", 1).alias("folder"), place.alias("place")), "folder", "place")
 
 
 @query()
 def minijson(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    found = Search.scan(docs, Query.of(must=["the", "that"]))
+    found = Search.indexed(saved_index(spark, sf_dir), Query.of(must=["the", "that"]))
     total = found.scored().count()
     out, fit = format_results(result_rows(found.ranked(20)).collect(), {"max_bytes": 4000}, f"cur_20_{Query.of(must=['the']).signature(10, 1.2, 0.75, '', SymbolWeights())}", True)
     import json
@@ -162,7 +175,7 @@ def minijson(spark, sf_dir):
 
 @query(f"WITH r AS ({_search_sql(must=('the', 'that'), exclude=('with',), columns='doc_id, score')}) SELECT doc_id, score, ((row_number() OVER (ORDER BY score DESC, doc_id) - 1) // 7)::INT AS page FROM r QUALIFY page < 3")
 def cursor_walk(spark, sf_dir):
-    found = Search.scan(corpus(spark, sf_dir), Query.of(must=["the", "that"], exclude=["with"]))
+    found = Search.indexed(saved_index(spark, sf_dir), Query.of(must=["the", "that"], exclude=["with"]))
     pages = [found.ranked(7, 7 * k).select("doc_id", "score", F.lit(k).alias("page")) for k in range(3)]
     return pages[0].unionByName(pages[1]).unionByName(pages[2])
 
@@ -172,8 +185,7 @@ def index_query(spark, sf_dir):
     """The index plan: built, then asked through the contract's own object."""
     import json
 
-    index = I.Index.build(corpus(spark, sf_dir).withColumnRenamed("text", "content"))
-    out = run_query(index, {"must": ["the"], "should": ["that"], "budget": {"max_results": 5}}, SymbolWeights.disabled())
+    out = run_query(saved_index(spark, sf_dir), {"must": ["the"], "should": ["that"], "budget": {"max_results": 5}}, SymbolWeights.disabled())
     return spark.createDataFrame([(json.dumps(out),)], "result string")
 
 
@@ -225,7 +237,7 @@ def postings_topterms(spark, sf_dir):
 
 @query(_search_sql(must=("that",), columns="doc_id, score"))
 def bm25_term(spark, sf_dir):
-    return Search.scan(corpus(spark, sf_dir), Query.of(must=["that"])).scored().select("doc_id", "score")
+    return Search.indexed(saved_index(spark, sf_dir), Query.of(must=["that"])).scored().select("doc_id", "score")
 
 
 @query("WITH v AS (SELECT url, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS ext FROM pages) SELECT url, ext, CASE ext WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.c' THEN 'c' WHEN '.md' THEN 'markdown' WHEN '.go' THEN 'go' WHEN '.json' THEN 'json' END AS lang FROM v")
@@ -261,11 +273,11 @@ def brace_regions(spark, sf_dir):
     return pages.select("page_id", F.explode("r.block").alias("b")).groupBy("page_id", F.col("b.start").alias("start"), F.col("b.end").alias("end")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {DOCS}, n AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{WHITE}]')))::INT AS m FROM d) SELECT doc_id, m + 2 AS n_blocks, m + 1 AS n_symbols, TRUE AS parsed FROM n")
 def python_regions(spark, sf_dir):
     """The whole text of each document as Python source: a class with a method for each line that is not blank, which returns the line."""
     quoted = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\r"), F.lit("\\r")), F.lit("\0"), F.lit("\\0"))
-    method = lambda x: F.when(x.rlike(r"\S"), F.concat(F.lit("    def f(self):\n        return '"), quoted(x), F.lit("'\n"))).otherwise("\n")
+    method = lambda x: F.when(~T.is_blank(x), F.concat(F.lit("    def f(self):\n        return '"), quoted(x), F.lit("'\n"))).otherwise("\n")
     body = F.concat(F.lit("class A:\n    pass\n"), F.array_join(F.transform(T.lines(F.col("text")), method), ""), F.lit("\nif A:\n    pass\n"))
     rows = corpus(spark, sf_dir).select("doc_id", R.parsed_regions(body, F.lit("python")).alias("r"))
     return rows.select("doc_id", F.size("r.block").alias("n_blocks"), F.size("r.symbol").alias("n_symbols"), "r.parsed")
@@ -280,7 +292,7 @@ def region_normalize(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {LINES}, s AS (SELECT ln.doc_id, line, list_contains({_tokens('s')}, 'the') AS has FROM ln), e AS (SELECT s.doc_id, s.line, bool_or(y.doc_id IS NOT NULL) AS inside FROM s LEFT JOIN symbols y ON y.doc_id = s.doc_id AND s.line BETWEEN y.s AND y.e WHERE has GROUP BY ALL) SELECT doc_id, round(avg(inside::INT), 9) AS evidence FROM e GROUP BY doc_id")
 def symbol_evidence(spark, sf_dir):
-    found = Search.scan(corpus(spark, sf_dir), Query.of(symbol=["the"]))
+    found = Search.indexed(saved_index(spark, sf_dir), Query.of(symbol=["the"]))
     return found.features.where(found.has("the")).select("doc_id", F.round(found.evidence(("the",)), 9).alias("evidence"))
 
 
@@ -526,11 +538,14 @@ def samples(spark, sf_dir) -> DataFrame:
     return d.select(F.concat(F.lit("r"), (F.col("doc_id") % 5).cast("string")).alias("repo"), "lang", (F.col("n_chars") / F.lit(100000.0)).alias("base"), ((F.col("doc_id") % 11) / F.lit(10.0)).alias("evidence"), "label")
 
 
-@query()
+FIT = "n AS (SELECT count(*)::DOUBLE AS n FROM s), x AS (SELECT base, evidence, CASE WHEN lang = 'en' THEN evidence ELSE 0 END AS en, label, count(*)::DOUBLE AS m FROM s GROUP BY ALL), it AS (SELECT 0 AS step, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3, 1.0::DOUBLE AS moved UNION ALL SELECT step + 1, w0 - u0, w1 - u1, w2 - u2, w3 - u3, greatest(abs(u0), abs(u1), abs(u2), abs(u3)) FROM (SELECT step, w0, w1, w2, w3, r * g0 / n AS u0, r * (g1 + 3 * w1) / n AS u1, r * (g2 + 3 * w2) / n AS u2, r * (g3 + 3 * w3) / n AS u3 FROM (SELECT step, w0, w1, w2, w3, n, 0.4::DOUBLE / (1 + 0.01::DOUBLE * step) AS r, sum(e) AS g0, sum(e * base) AS g1, sum(e * evidence) AS g2, sum(e * en) AS g3 FROM (SELECT it.*, x.base, x.evidence, x.en, n.n, m * (1 / (1 + exp(-greatest(-35, least(35, w0 + w1 * base + w2 * evidence + w3 * en)))) - label) AS e FROM it CROSS JOIN x CROSS JOIN n WHERE step < 2000 AND moved >= 1e-7) GROUP BY ALL)))"
+
+
+@query(f"WITH RECURSIVE {SAMPLES}, {FIT}, z AS (SELECT * FROM it ORDER BY step DESC LIMIT 1) SELECT position::INT AS position, round(weight, 6) AS weight FROM (SELECT unnest([0, 1, 2, 3]) AS position, unnest([w0, w1, w2, w3]) AS weight FROM z)")
 def logistic_fit(spark, sf_dir):
     rows = fit.feature_rows(samples(spark, sf_dir), ["en"])
     w = fit.fit_gradient(rows, 4, 3.0)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "position int, weight double")
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(w)], "position int, weight double")
 
 
 @query(f"WITH {SAMPLES}, p AS (SELECT repo, label, 1 / (1 + exp(-(0.4 + 1.5 * base - 0.8 * evidence))) AS p FROM s) SELECT repo, round(-avg(label * ln(greatest(1e-12, least(1 - 1e-12, p))) + (1 - label) * ln(1 - greatest(1e-12, least(1 - 1e-12, p)))), 9) AS loss FROM p GROUP BY repo")
@@ -607,3 +622,6 @@ def _set_counts(spark, sf_dir, customers: DataFrame) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
     count = lambda d, op: d.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
     return count(s.union(c).distinct(), "union").unionByName(count(s.intersect(c), "intersect")).unionByName(count(n.exceptAll(c.distinct()), "except"))
+
+
+from lexgrain.plans import contract as _contract  # noqa: E402, F401  registers its queries here too

@@ -16,10 +16,9 @@ of both; every batch draws the tables of its pairs from that digest, so all that
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,12 +57,12 @@ CLASS = byte_classes()
 
 def _zip(a: np.ndarray) -> bytes:
     """By byte plane, where small numbers compress well."""
-    return zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
 
 
 def _unzip(b: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.frombuffer(np.frombuffer(zlib.decompress(b), np.uint8).reshape(width, -1).T.tobytes(), kind)
+    return np.frombuffer(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, -1).T.tobytes(), kind)
 
 
 def spelled(words: list[bytes]):
@@ -254,7 +253,6 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
     kind 0: a batch's documents, with each token as the place of its word in the batch's list, and the words' digests.
     kind 1: the part of that list in one bucket, in order of digests, with the words' training counts: as tokens, before
     another word, and, one table for each pair of the batch, tables of their own restaurant and customers of the words'.
-    kind 2: marks of the batch's pairs in one bucket, with their training counts.
     """
 
     def run(batches):
@@ -290,9 +288,6 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
             for b in np.flatnonzero(np.diff(cuts)):
                 part = order[cuts[b] : cuts[b + 1]].tolist()
                 rows.append((1, name, int(b), b" ".join([lists[k] if lists[k] != END else b"" for k in part]), _zip(np.concatenate([x[cuts[b] : cuts[b + 1]] for x in per_word])), None))
-            cuts = _cuts(_pair_bucket(marks, buckets), buckets)
-            for b in np.flatnonzero(np.diff(cuts)):
-                rows.append((2, name, int(b), _zip(np.diff(marks[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), _zip(n[cuts[b] : cuts[b + 1]]), None))
             held.clear()
             return pd.DataFrame(rows, columns=ROW_COLUMNS)
 
@@ -317,6 +312,23 @@ def _split(blob: bytes) -> list[bytes]:
     return [w or END for w in blob.split(b" ")]
 
 
+def pair_asks(batches_: DataFrame, buckets: int) -> DataFrame:
+    """kind 2: marks of a batch's pairs in one bucket, with their training counts; made from the written batch, so that they go into the exchange only."""
+
+    def run(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                info, code = np.frombuffer(r.more, np.int64).reshape(-1, 6), _unzip(r.blob, np.uint32).astype(np.int64)
+                token, at, _, _, marks = bigrams(code, info, np.frombuffer(r.hashes, np.uint64))
+                train = np.repeat(info[:, 2] == 0, info[:, 3])
+                n = np.bincount(at, train[token], minlength=len(marks)).astype(np.int64)
+                cuts = _cuts(_pair_bucket(marks, buckets), buckets)
+                rows = [(2, r.batch, int(b), _zip(np.diff(marks[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), _zip(n[cuts[b] : cuts[b + 1]]), None) for b in np.flatnonzero(np.diff(cuts))]
+                yield pd.DataFrame(rows, columns=ROW_COLUMNS)
+
+    return batches_.select("batch", "blob", "more", "hashes").mapInPandas(run, ROWS)
+
+
 def pair_counts(asks: DataFrame, buckets: int) -> DataFrame:
     """For each asked list of pairs, twice their training counts in all batches, and one more in the batch that seats them for all."""
 
@@ -591,18 +603,18 @@ def scored(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, seatings:
 
 
 def _by_kind(asks: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Kinds 0, 1 and 2 as tables of their own, so that each can be deleted after its last reader."""
+    """Kinds 0 and 1 as tables of their own, so that each can be deleted after its last reader."""
     spark, name = asks.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(name, "0")
-    spark.conf.set(name, "3")  # else each task sorts its blobs by kind
+    spark.conf.set(name, "2")  # else each task sorts its blobs by kind
     try:
         asks.write.partitionBy("kind").option("parquet.block.size", 16 << 20).parquet(f"{scratch.root}/asks")
     finally:
         spark.conf.set(name, before)
     shape = asks.drop("kind").schema
     read = lambda k: spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{scratch.root}/asks/kind={k}")
-    exists = {k for k in (0, 1, 2) if _exists(spark, f"{scratch.root}/asks/kind={k}")}
-    return [(read(k) if k in exists else spark.createDataFrame([], shape)).select(F.lit(k).alias("kind"), *shape.names) for k in (0, 1, 2)]
+    exists = {k for k in (0, 1) if _exists(spark, f"{scratch.root}/asks/kind={k}")}
+    return [(read(k) if k in exists else spark.createDataFrame([], shape)).select(F.lit(k).alias("kind"), *shape.names) for k in (0, 1)]
 
 
 def _exists(spark, path: str) -> bool:
@@ -616,7 +628,10 @@ def _discount(sums) -> float:
 
 
 def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score.
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score, perplexity.
+
+    perplexity is 10 to the power of -score / n_tokens. Counts and digests of all rows decide every seat;
+    large customers' counts are seated in strides of a fifth of those present, as one binomial number each.
 
     Learns from the rows that held (default: crc32(doc_id) mod 10 = 0, or no doc_id) does not hold out.
     A null or empty text is its end alone. Repeated rows count, and are scored, as often as they come. A
@@ -627,9 +642,9 @@ def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, tex
     scratch, buckets = Scratch(spark, "pitman-yor"), partitions(spark)
     held = F.coalesce(fold(doc_id, 10) == 0, F.lit(True)) if held is None else held
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(doc_id).isNull().alias("none"), held.alias("held"), F.col(text).cast("string").alias("text"))
-    batches, word_asks, pair_asks = _by_kind(ask(source, buckets), scratch)
-    pairs = scratch.save(pair_counts(pair_asks, buckets), "pairs")
-    scratch.drop("asks/kind=2", shuffles=True)
+    batches, word_asks = _by_kind(ask(source, buckets), scratch)
+    pairs = scratch.save(pair_counts(pair_asks(batches, buckets), buckets), "pairs")
+    scratch.drop(shuffles=True)
     of_pairs = pairs.agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
     inner = _discount(of_pairs)
     both = scratch.save(vocabulary(word_asks, buckets), "words")
@@ -657,4 +672,4 @@ def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, tex
     answered = scratch.save(answers(vocab, places, buckets, seatings, sweeps + 1), "answers")
     scratch.drop("words", f"seated-{sweeps}", shuffles=True)
     rows = scored(batches, pairs, answered, seatings, inner, n_train, n_types).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("open").alias("open_score"))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "open_score")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "open_score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +120,7 @@ def anchors(words: np.ndarray, doc: np.ndarray, ends: np.ndarray, width: int = W
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
 
 
 def records(words: np.ndarray, lengths: np.ndarray, doc_id: np.ndarray, mark: np.ndarray, base: np.ndarray, limit: np.ndarray, buckets: int, width: int, rounds: int):
@@ -187,7 +187,7 @@ def _unpack(blob: bytes):
     key = np.frombuffer(blob, np.uint64, r, 24)
     six = np.zeros((w, 8), np.uint8)
     six[:, :6] = np.frombuffer(blob, np.uint8, w * 6, 24 + r * 8).reshape(-1, 6)
-    rest = zlib.decompress(memoryview(blob)[24 + r * 8 + w * 6 :])
+    rest = zstandard.decompress(memoryview(blob)[24 + r * 8 + w * 6 :])
     ids, mark = np.frombuffer(rest, np.int64, d), np.frombuffer(rest, np.int64, d, 8 * d)
     at = np.cumsum(np.frombuffer(rest, np.int32, r, 16 * d))
     place = np.frombuffer(rest, np.int64, r, 16 * d + 4 * r)
@@ -295,7 +295,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rou
         while got:
             parts = []
             for blob in got.popitem()[1]:
-                n, rest = int.from_bytes(blob[:8], "little"), zlib.decompress(blob[8:])
+                n, rest = int.from_bytes(blob[:8], "little"), zstandard.decompress(blob[8:])
                 ids, mark, place = np.frombuffer(rest, np.int64).reshape(3, n)
                 parts.append((ids, mark, np.cumsum(place)))
             ids, mark, place = (np.concatenate([x[k] for x in parts]) for k in range(3))
@@ -336,7 +336,7 @@ def removed(n: int, starts: bytes | None, width: int = WINDOW) -> np.ndarray:
     """Which of n words the windows at these starts cover."""
     step = np.zeros(n + 1, np.int64)
     if starts:
-        s = np.frombuffer(zlib.decompress(starts), np.int64)
+        s = np.frombuffer(zstandard.decompress(starts), np.int64)
         np.add.at(step, s, 1)
         np.add.at(step, np.minimum(s + width, n), -1)
     return np.cumsum(step[:n]) > 0

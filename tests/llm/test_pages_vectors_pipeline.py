@@ -160,6 +160,48 @@ def test_embeddings(spark):
     assert got == brute(rows)
 
 
+def test_embedding_recall_on_fifty_thousand(spark):
+    """Links found of those that brute force finds, in groups of all sizes and at all similarities about the threshold."""
+    rng, d, n = np.random.default_rng(11), 32, 50_000
+    label = rng.integers(0, 5, n)
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = 0
+    for size in [2] * 4000 + [3] * 1500 + [8] * 300 + [60] * 30 + [1500]:
+        seed = rng.standard_normal(d)
+        spread = rng.uniform(0.01, 0.16) / np.sqrt(d)
+        x[at : at + size] = seed / np.linalg.norm(seed) + spread * rng.standard_normal((size, d))
+        label[at : at + size] = label[at]
+        at += size
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, e, int(k)) for i, (e, k) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df.withColumn("blob", embeddings.F.lit("clash")).withColumn("rep", embeddings.F.lit(0))).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = 0
+    for k in range(5):
+        ids = np.flatnonzero(label == k)
+        for p in range(0, len(ids), 1000):
+            links = (u[ids[p : p + 1000]] @ u[ids].T >= 0.98).sum(axis=1) - 1
+            want += int(links.sum())
+            assert (np.array([got[int(i)] for i in ids[p : p + 1000]]) <= links).all()
+    assert len(got) == n and sum(got.values()) >= 0.99 * want > 100_000
+
+
+def test_windows_go_on_across_tasks(spark):
+    """Sixty-four partitions of few rows: neighbours in order meet, whichever tasks hold them."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(16)
+    rows = [(k, (base + 0.0005 * k * rng.standard_normal(16)).tolist(), 1) for k in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = sorted((tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, VECTOR), passes=1).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute(rows)
+
+
 def test_embedding_labels_and_emptiness(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTOR)).collect() == []
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, [1.0, 0.1], 1)]

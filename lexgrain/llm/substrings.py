@@ -1,8 +1,9 @@
 """Exact removal of repeated word windows, found through recompressed symbols.
 
 Each round of recompression first names maximal runs of one symbol, then pairs (left, right) of a
-split of the alphabet drawn anew for the round. A name is a 64-bit digest of what it stands for, so
-that all executors give equal runs and pairs the same name without a naming shuffle. With every symbol
+split of the alphabet drawn anew for the round. A name is a 64-bit digest of what it stands for: a
+function of the run or pair alone, so that all executors give equal ones the same name in every round
+without a naming shuffle of all words, which would be several times the input. With every symbol
 goes its context: the words that the decisions behind it have looked at. A symbol whose context lies
 inside a window is in every copy of the window, at the same place and under the same name. So each
 window goes by one such symbol of the highest level, the windows of one symbol travel together, and
@@ -26,6 +27,8 @@ from lexgrain.llm.scratch import Scratch, full, partitions, replaced
 WINDOW = 20
 ROUNDS = 5
 BATCH_WORDS = 1 << 19
+#: Buckets of windows in one partition; a task holds one of them at a time.
+FINER = 8
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -64,7 +67,7 @@ def symbols(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS):
     for r in range(rounds):
         if len(name) < 2:
             break
-        for step in ("run", "pair") if r == 0 else ("pair",):
+        for step in ("run", "pair"):
             n = len(name)
             near = np.zeros(n + 1, bool)  # near[k]: k-1 and k are in one document
             near[1:n] = doc[1:] == doc[:-1]
@@ -246,7 +249,8 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id, mark, text) -> (doc_id, mark, starts): zipped int64 starts of windows that also start earlier."""
-    groups = partitions(scratch.spark)
+    tasks = partitions(scratch.spark)
+    groups = tasks * FINER
 
     def send(batches):
         held, total = [], 0
@@ -277,24 +281,29 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rou
         if held:
             yield flush()
 
-    def compare(batches):
-        blobs: dict[int, list[bytes]] = {}
+    def by_bucket(batches):
+        """The blobs of each bucket, in order of buckets."""
+        now, blobs = None, []
         for pdf in full(batches):
-            for b, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
-                blobs.setdefault(b, []).append(blob)
-        while blobs:
-            rows = list(_sent(*repeated(blobs.popitem()[1]), groups))
+            for b, blob in zip(pdf["bucket"].tolist(), pdf["blob"], strict=True):
+                if b != now and blobs:
+                    yield blobs
+                    blobs = []
+                now = b
+                blobs.append(blob)
+        if blobs:
+            yield blobs
+
+    def compare(batches):
+        for blobs in by_bucket(batches):
+            rows = list(_sent(*repeated(blobs), groups))
             if rows:
                 yield pd.DataFrame({"bucket": [g for g, _ in rows], "found": True, "blob": [b for _, b in rows]})
 
     def gather(batches):
-        got: dict[int, list[bytes]] = {}
-        for pdf in full(batches):
-            for g, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
-                got.setdefault(g, []).append(blob)
-        while got:
+        for blobs in by_bucket(batches):
             parts = []
-            for blob in got.popitem()[1]:
+            for blob in blobs:
                 n, rest = int.from_bytes(blob[:8], "little"), zstandard.decompress(blob[8:])
                 ids, mark, place = np.frombuffer(rest, np.int64).reshape(3, n)
                 parts.append((ids, mark, np.cumsum(place)))
@@ -309,27 +318,30 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WINDOW, rou
                 yield pd.DataFrame({"doc_id": [ids[a] for a, _ in part], "mark": [mark[a] for a, _ in part], "starts": [_pack(np.unique(place[a:b])) for a, b in part]})
 
     shape = "bucket int, found boolean, blob binary"
-    at = F.col("bucket")
+    at = F.floor(F.col("bucket") / FINER).cast("int")
     sent = docs.select("doc_id", "mark", "text").mapInPandas(send, shape)
     # Rows that a batch has settled by itself pass through the same exchange, by document group.
-    dealt = sent.repartitionById(groups, at)
+    dealt = sent.repartitionById(tasks, at).sortWithinPartitions("found", "bucket")
 
     def compare_or_pass(batches):
-        kept: list[pd.DataFrame] = []
+        passed: list[pd.DataFrame] = []  # of the batch in which those to compare end, which come first
 
         def rest():
             for pdf in full(batches):
                 if pdf["found"].any():
-                    kept.append(pdf[pdf["found"]])
+                    passed.append(pdf[pdf["found"]])
                 if not pdf["found"].all():
                     yield pdf[~pdf["found"]]
+                if passed:
+                    return
 
         yield from compare(rest())
-        yield from kept
+        yield from passed
+        yield from full(batches)
 
     found = scratch.save(dealt.mapInPandas(compare_or_pass, shape).select("bucket", "blob"), "found")
     scratch.drop(shuffles=True)  # the windows are compared: their shuffle need not wait on disk for the texts
-    return found.repartitionById(groups, at).mapInPandas(gather, "doc_id long, mark long, starts binary")
+    return found.repartitionById(tasks, at).sortWithinPartitions("bucket").mapInPandas(gather, "doc_id long, mark long, starts binary")
 
 
 def removed(n: int, starts: bytes | None, width: int = WINDOW) -> np.ndarray:

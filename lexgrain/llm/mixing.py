@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,78 @@ TEMPERATURE = {"source": 0.5, "lang": 0.5, "topic": 1.0}
 SEED = 17
 
 
-def topic_of(text: Column, n_words: Column) -> Column:
-    """A coarse topic from the form of the whole text: table, symbols, list, short or prose."""
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    marks = F.length(text) - F.length(F.regexp_replace(text, "[#*$%&]", ""))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return F.when(n_words == 0, "empty").when(bars * 5 > n_words, "table").when(marks * 5 > n_words, "symbols").when(n_words < 8 * lines, "list").when(n_words < 100, "short").otherwise("prose")
+#: Bins of hashed words that a document's vector has, one character for each, and the number of topics.
+BINS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"
+TOPICS = 6
+SHRINK = 20.0
+
+
+def binned(text: Column) -> Column:
+    """A character for each word of the whole text: the bin of the word, lower-cased."""
+    return F.array_join(F.transform(words_column(text), lambda w: F.substring(F.lit(BINS), F.pmod(F.xxhash64(F.lower(w)), F.lit(len(BINS))).cast("int") + 1, F.lit(1))), "")
 
 
 def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, mark (what its draw goes by), source, lang, topic, n_tokens: the weight of each row is the words of its whole text. Nulls are a class of their own."""
+    """doc_id, mark (what its draw goes by), source, lang, n_tokens, counts: the weight of each row is the words of its whole text. Nulls are a class of their own."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*keep, F.lit(0).alias("__none")).alias("__keep"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), body.alias("text"), F.size(words_column(body)).cast("long").alias("n_tokens"))
+    rows = docs.select(F.struct(*keep, F.lit(0).alias("__none")).alias("__keep"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), body.alias("text"), binned(body).alias("bins"))
     mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return rows.select("__keep", "doc_id", mark.alias("mark"), "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
+    counts = F.array(*[F.length("bins") - F.length(F.replace("bins", F.lit(b), F.lit(""))) for b in BINS])
+    return rows.select("__keep", "doc_id", mark.alias("mark"), "source", "lang", F.length("bins").cast("long").alias("n_tokens"), counts.alias("counts"))
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """rows with z: each bin's share of a document, drawn toward the mean share by SHRINK words, in standard deviations from it.
+
+    The weights that this gives a bin, high for bins that documents differ in, stand in for inverse document frequencies.
+    """
+    full = rows.where("n_tokens > 0")
+    mean = full.agg(*[(F.sum(F.get("counts", F.lit(i))) / F.sum("n_tokens")).alias(f"m{i}") for i in range(len(BINS))]).first()
+    share = [(F.get("counts", F.lit(i)) + F.lit(SHRINK * (mean[f"m{i}"] or 0.0))) / (F.col("n_tokens") + F.lit(SHRINK)) - F.lit(mean[f"m{i}"] or 0.0) for i in range(len(BINS))]
+    width = full.agg(*[F.sqrt(F.avg(x * x)).alias(f"s{i}") for i, x in enumerate(share)]).first()
+    z = F.array(*[F.round(x / F.lit(width[f"s{i}"] or 1.0), 4).cast("float") for i, x in enumerate(share)])
+    return rows.withColumn("z", z).drop("counts")
+
+
+def distance(z: str, centre: list[float]) -> Column:
+    """Squared distance, less the vector's own length, which all centres share."""
+    return sum((F.get(z, F.lit(i)) * F.lit(-2.0 * c) for i, c in enumerate(centre) if c), F.lit(sum(c * c for c in centre)))
+
+
+def nearest(z: str, centres: list[list[float]]) -> Column:
+    far = [distance(z, c) for c in centres]
+    return F.array_position(F.array(*far), F.array_min(F.array(*far))).cast("int") - 1
+
+
+def centres_of(rows: DataFrame, many: int = TOPICS, rounds: int = 12, seed: int = SEED) -> list[list[float]]:
+    """k-means over all rows with a word; each round is one aggregation, and many centres reach the driver.
+
+    The first centres are the documents that lie farthest along fixed directions; a centre that loses all
+    its documents stays where it is. Ends when no coordinate moves by a hundredth.
+    """
+    rng = random.Random(seed)
+    full = rows.where("n_tokens > 0").select("z")
+    along = [sum((F.get("z", F.lit(i)) * F.lit(rng.gauss(0, 1)) for i in range(len(BINS))), F.lit(0.0)) for _ in range(many)]
+    first = full.agg(*[F.max_by("z", F.struct(a.alias("a"), "z")).alias(f"c{k}") for k, a in enumerate(along)]).first()
+    if first["c0"] is None:
+        return [[0.0] * len(BINS)]
+    centres = [[0.5 * x for x in first[f"c{k}"]] for k in range(many)]
+    for _ in range(rounds):
+        sums = full.groupBy(nearest("z", centres).alias("k")).agg(*[F.round(F.avg(F.get("z", F.lit(i)).cast("double")), 3).alias(f"m{i}") for i in range(len(BINS))])
+        new = [list(c) for c in centres]
+        for r in sums.collect():  # a row for each centre
+            new[r["k"]] = [r[f"m{i}"] for i in range(len(BINS))]
+        moved = max(abs(a - b) for x, y in zip(centres, new, strict=True) for a, b in zip(x, y, strict=True))
+        centres = new
+        if moved < 0.01:
+            break
+    return centres
+
+
+def with_topics(rows: DataFrame, many: int = TOPICS, seed: int = SEED) -> DataFrame:
+    """rows(z, n_tokens) with topic: t0, t1 and so on by the nearest centre, empty without a word."""
+    topic = F.concat(F.lit("t"), nearest("z", centres_of(rows, many, seed=seed)).cast("string"))
+    return rows.withColumn("topic", F.when(F.col("n_tokens") == 0, "empty").otherwise(topic))
 
 
 def tempered(cells: DataFrame, by: str, power: float) -> DataFrame:
@@ -84,7 +144,7 @@ def rate(cells: DataFrame, budget: float) -> float:
 def mix(docs: DataFrame, budget: float = 0.5, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: keep, doc_id, source, lang, topic, n_tokens, probability, weight, kept.
 
-    Target shares of the tokens of each source, language and topic are given as targets (column of
+    topic is a cluster of hashed TF-IDF vectors of the whole texts, by k-means over all rows. Target shares of the tokens of each source, language and topic are given as targets (column of
     that name, share), or are the present shares to the given powers. budget is the part of all
     tokens that is expected to be kept. A cell that cannot give its part is kept whole; weight says by
     how much each kept row then counts for the targets to hold. kept compares the probability with a
@@ -93,7 +153,9 @@ def mix(docs: DataFrame, budget: float = 0.5, powers: dict[str, float] | None =
     are not kept. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.save(weigh(docs, text, doc_id, keep), "rows")
+    counted = scratch.save(weigh(docs, text, doc_id, keep), "counts")
+    rows = scratch.save(with_topics(scratch.save(vectors(counted), "vectors")).drop("z"), "rows")
+    scratch.drop("counts", "vectors")
     cells = scratch.save(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     aims = targets or {by: scratch.save(tempered(cells, by, (powers or TEMPERATURE)[by]), f"aim-{by}") for by in DIMENSIONS}
     raked = rake(cells, aims, scratch)

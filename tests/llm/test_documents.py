@@ -186,6 +186,27 @@ def test_rows_without_an_id_have_draws_of_their_own(table):
     assert 50 < sum(kept) < 150
 
 
+def test_topics_against_plain_loops(spark, table):
+    """k-means over all rows: each row lies nearest to its own centre, each centre is the mean of its rows, and word use decides."""
+    from lexgrain.llm.scratch import Scratch
+
+    rows = [(k, " ".join(words(k, 60, 30) if k % 2 else [f"q{x}" for x in words(k, 60, 30)])) for k in range(120)] + [(900, ""), (901, None)]
+    scratch = Scratch(spark, "t")
+    counted = scratch.save(mixing.weigh(table(rows)), "c")
+    for r in counted.collect():
+        text = dict(rows)[r.doc_id] or ""
+        assert r.n_tokens == len(text.split()) == sum(r.counts)
+    vectors = scratch.save(mixing.vectors(counted), "v")
+    centres = np.array(mixing.centres_of(vectors, 2, 50))
+    got = by_id(mixing.with_topics(vectors, 2))
+    z = {i: np.array(r.z, float) for i, r in got.items() if r.n_tokens}
+    near = {i: int(((x - centres) ** 2).sum(axis=1).argmin()) for i, x in z.items()}
+    assert {i: r.topic for i, r in got.items()} == {i: f"t{near[i]}" if i in near else "empty" for i in got}
+    for k in (0, 1):
+        assert np.allclose(centres[k], np.mean([x for i, x in z.items() if near[i] == k], axis=0), atol=0.02)
+    assert len({(i % 2, near[i]) for i in near}) == 2
+
+
 def test_raking_meets_its_targets(spark, documents):
     out = mixing.mix(documents, budget=0.4).persist()
     rows = [r for r in out.collect() if r.n_tokens]

@@ -27,55 +27,65 @@ def binned(text: Column) -> Column:
 
 
 def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, mark (what its draw goes by), source, lang, n_tokens, counts: the weight of each row is the words of its whole text. Nulls are a class of their own."""
+    """doc_id, mark (what its draw goes by), source, lang, n_tokens, bins: the weight of each row is the words of its whole text. Nulls are a class of their own."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*keep, F.lit(0).alias("__none")).alias("__keep"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), body.alias("text"), binned(body).alias("bins"))
-    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    counts = F.array(*[F.length("bins") - F.length(F.replace("bins", F.lit(b), F.lit(""))) for b in BINS])
-    return rows.select("__keep", "doc_id", mark.alias("mark"), "source", "lang", F.length("bins").cast("long").alias("n_tokens"), counts.alias("counts"))
+    mark = F.when(F.col(doc_id).isNull(), F.xxhash64(body)).otherwise(F.xxhash64(doc_id))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")]
+    rows = docs.select(F.struct(*keep, F.lit(0).alias("__none")).alias("__keep"), F.col(doc_id).alias("doc_id"), mark.alias("mark"), *named, binned(body).alias("bins"))
+    return rows.withColumn("n_tokens", F.length("bins").cast("long"))
 
 
-def vectors(rows: DataFrame) -> DataFrame:
-    """rows with z: each bin's share of a document, drawn toward the mean share by SHRINK words, in standard deviations from it.
+def _by_bin(rows: DataFrame, values: Column, *what: Column) -> dict[int, tuple]:
+    """Aggregates what of each place of an array, over all rows: a row for each bin reaches the driver."""
+    found = rows.select("n_tokens", F.posexplode(values).alias("at", "x")).groupBy("at").agg(*what).collect()
+    return {r[0]: tuple(r[1:]) for r in found}
+
+
+def vectors(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows(bins, n_tokens, ...), a written table, with z: each bin's share of a document, drawn toward the mean share by SHRINK words, in standard deviations from it.
 
     The weights that this gives a bin, high for bins that documents differ in, stand in for inverse document frequencies.
     """
-    full = rows.where("n_tokens > 0")
-    mean = full.agg(*[(F.sum(F.get("counts", F.lit(i))) / F.sum("n_tokens")).alias(f"m{i}") for i in range(len(BINS))]).first()
-    share = [(F.get("counts", F.lit(i)) + F.lit(SHRINK * (mean[f"m{i}"] or 0.0))) / (F.col("n_tokens") + F.lit(SHRINK)) - F.lit(mean[f"m{i}"] or 0.0) for i in range(len(BINS))]
-    width = full.agg(*[F.sqrt(F.avg(x * x)).alias(f"s{i}") for i, x in enumerate(share)]).first()
-    z = F.array(*[F.round(x / F.lit(width[f"s{i}"] or 1.0), 4).cast("float") for i, x in enumerate(share)])
-    return rows.withColumn("z", z).drop("counts")
+    counts = F.transform(F.lit(list(BINS)), lambda b: F.length("bins") - F.length(F.replace("bins", b, F.lit(""))))
+    counted = scratch.save(rows.withColumn("counts", counts.cast("array<int>")).drop("bins"), "counts")
+    full = counted.where("n_tokens > 0")
+    sums = _by_bin(full, F.col("counts"), F.sum("x"))
+    total = sum(v for v, in sums.values()) or 1
+    mean = [sums.get(i, (0,))[0] / total for i in range(len(BINS))]
+    share = F.zip_with("counts", F.lit(mean), lambda c, m: (c + F.lit(SHRINK) * m) / (F.col("n_tokens") + F.lit(SHRINK)) - m)
+    width = _by_bin(full, share, F.sqrt(F.avg(F.col("x") * F.col("x"))))
+    scale = [1.0 / (width.get(i, (0.0,))[0] or 1.0) for i in range(len(BINS))]
+    return counted.withColumn("z", F.zip_with(share, F.lit(scale), lambda x, w: F.round(x * w, 4)).cast("array<float>")).drop("counts")
 
 
-def distance(z: str, centre: list[float]) -> Column:
-    """Squared distance, less the vector's own length, which all centres share."""
-    return sum((F.get(z, F.lit(i)) * F.lit(-2.0 * c) for i, c in enumerate(centre) if c), F.lit(sum(c * c for c in centre)))
+def dot(z: Column | str, by: list[float]) -> Column:
+    return F.aggregate(F.zip_with(z, F.lit(by), lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
 
 
 def nearest(z: str, centres: list[list[float]]) -> Column:
-    far = [distance(z, c) for c in centres]
-    return F.array_position(F.array(*far), F.array_min(F.array(*far))).cast("int") - 1
+    """The centre at the least distance: that of squares, less the vector's own length, which all centres share."""
+    far = F.array(*[F.named_struct(F.lit("far"), F.lit(sum(c * c for c in centre)) - F.lit(2.0) * dot(z, centre), F.lit("k"), F.lit(k)) for k, centre in enumerate(centres)])
+    return F.array_min(far)["k"]
 
 
-def centres_of(rows: DataFrame, many: int = TOPICS, rounds: int = 12, seed: int = SEED) -> list[list[float]]:
+def centres_of(rows: DataFrame, many: int = TOPICS, rounds: int = 10, seed: int = SEED) -> list[list[float]]:
     """k-means over all rows with a word; each round is one aggregation, and many centres reach the driver.
 
     The first centres are the documents that lie farthest along fixed directions; a centre that loses all
     its documents stays where it is. Ends when no coordinate moves by a hundredth.
     """
     rng = random.Random(seed)
-    full = rows.where("n_tokens > 0").select("z")
-    along = [sum((F.get("z", F.lit(i)) * F.lit(rng.gauss(0, 1)) for i in range(len(BINS))), F.lit(0.0)) for _ in range(many)]
-    first = full.agg(*[F.max_by("z", F.struct(a.alias("a"), "z")).alias(f"c{k}") for k, a in enumerate(along)]).first()
+    full = rows.where("n_tokens > 0").select("n_tokens", "z")
+    along = [[rng.gauss(0, 1) for _ in BINS] for _ in range(many)]
+    first = full.agg(*[F.max(F.named_struct(F.lit("a"), dot("z", a), F.lit("z"), F.col("z"))).alias(f"c{k}") for k, a in enumerate(along)]).first()
     if first["c0"] is None:
         return [[0.0] * len(BINS)]
-    centres = [[0.5 * x for x in first[f"c{k}"]] for k in range(many)]
+    centres = [[0.5 * x for x in first[f"c{k}"]["z"]] for k in range(many)]
     for _ in range(rounds):
-        sums = full.groupBy(nearest("z", centres).alias("k")).agg(*[F.round(F.avg(F.get("z", F.lit(i)).cast("double")), 3).alias(f"m{i}") for i in range(len(BINS))])
+        placed = full.select(nearest("z", centres).alias("k"), F.posexplode("z").alias("at", "x"))
         new = [list(c) for c in centres]
-        for r in sums.collect():  # a row for each centre
-            new[r["k"]] = [r[f"m{i}"] for i in range(len(BINS))]
+        for r in placed.groupBy("k", "at").agg(F.round(F.avg(F.col("x").cast("double")), 3).alias("m")).collect():  # a row for each coordinate of a centre
+            new[r["k"]][r["at"]] = r["m"]
         moved = max(abs(a - b) for x, y in zip(centres, new, strict=True) for a, b in zip(x, y, strict=True))
         centres = new
         if moved < 0.01:
@@ -153,9 +163,9 @@ def mix(docs: DataFrame, budget: float = 0.5, powers: dict[str, float] | None =
     are not kept. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    counted = scratch.save(weigh(docs, text, doc_id, keep), "counts")
-    rows = scratch.save(with_topics(scratch.save(vectors(counted), "vectors")).drop("z"), "rows")
-    scratch.drop("counts", "vectors")
+    placed = scratch.save(vectors(scratch.save(weigh(docs, text, doc_id, keep), "weighed"), scratch), "vectors")
+    rows = scratch.save(with_topics(placed).drop("z"), "rows")
+    scratch.drop("weighed", "counts", "vectors")
     cells = scratch.save(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     aims = targets or {by: scratch.save(tempered(cells, by, (powers or TEMPERATURE)[by]), f"aim-{by}") for by in DIMENSIONS}
     raked = rake(cells, aims, scratch)

@@ -192,11 +192,15 @@ def test_topics_against_plain_loops(spark, table):
 
     rows = [(k, " ".join(words(k, 60, 30) if k % 2 else [f"q{x}" for x in words(k, 60, 30)])) for k in range(120)] + [(900, ""), (901, None)]
     scratch = Scratch(spark, "t")
-    counted = scratch.save(mixing.weigh(table(rows)), "c")
-    for r in counted.collect():
-        text = dict(rows)[r.doc_id] or ""
-        assert r.n_tokens == len(text.split()) == sum(r.counts)
-    vectors = scratch.save(mixing.vectors(counted), "v")
+    weighed = scratch.save(mixing.weigh(table(rows)), "w")
+    assert {r.doc_id: r.n_tokens for r in weighed.collect()} == {i: len((t or "").split()) for i, t in rows}
+    vectors = scratch.save(mixing.vectors(weighed, scratch), "v")
+    bins = {r.doc_id: [r.bins.count(b) for b in mixing.BINS] for r in weighed.collect() if r.n_tokens}
+    mean = np.sum(list(bins.values()), axis=0) / sum(map(sum, bins.values()))
+    share = {i: (np.array(c) + 20 * mean) / (sum(c) + 20) - mean for i, c in bins.items()}
+    width = np.sqrt(np.mean([x * x for x in share.values()], axis=0))
+    for r in vectors.where("n_tokens > 0").collect():
+        assert np.allclose(r.z, share[r.doc_id] / np.where(width > 0, width, 1), atol=1e-3)
     centres = np.array(mixing.centres_of(vectors, 2, 50))
     got = by_id(mixing.with_topics(vectors, 2))
     z = {i: np.array(r.z, float) for i, r in got.items() if r.n_tokens}

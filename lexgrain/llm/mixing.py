@@ -16,14 +16,15 @@ SEED = 17
 
 
 #: Bins of hashed words that a document's vector has, one character for each, and the number of topics.
-BINS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"
-TOPICS = 6
+BINS = "ABCDEFGHIJKLMNOP"
+TOPICS = 5
 SHRINK = 20.0
 
 
 def binned(text: Column) -> Column:
     """A character for each word of the whole text: the bin of the word, lower-cased."""
-    return F.array_join(F.transform(words_column(text), lambda w: F.substring(F.lit(BINS), F.pmod(F.xxhash64(F.lower(w)), F.lit(len(BINS))).cast("int") + 1, F.lit(1))), "")
+    names = F.lit(list(BINS))
+    return F.array_join(F.transform(words_column(F.lower(text)), lambda w: F.get(names, F.pmod(F.xxhash64(w), F.lit(len(BINS))).cast("int"))), "")
 
 
 def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,7 +69,7 @@ def nearest(z: str, centres: list[list[float]]) -> Column:
     return F.array_min(far)["k"]
 
 
-def centres_of(rows: DataFrame, many: int = TOPICS, rounds: int = 10, seed: int = SEED) -> list[list[float]]:
+def centres_of(rows: DataFrame, many: int = TOPICS, rounds: int = 8, seed: int = SEED) -> list[list[float]]:
     """k-means over all rows with a word; each round is one aggregation, and many centres reach the driver.
 
     The first centres are the documents that lie farthest along fixed directions; a centre that loses all
@@ -82,7 +83,7 @@ def centres_of(rows: DataFrame, many: int = TOPICS, rounds: int = 10, seed: int
         return [[0.0] * len(BINS)]
     centres = [[0.5 * x for x in first[f"c{k}"]["z"]] for k in range(many)]
     for _ in range(rounds):
-        placed = full.select(nearest("z", centres).alias("k"), F.posexplode("z").alias("at", "x"))
+        placed = full.select(nearest("z", centres).alias("k"), "z").select("k", F.posexplode("z").alias("at", "x"))  # in two steps: once for each row
         new = [list(c) for c in centres]
         for r in placed.groupBy("k", "at").agg(F.round(F.avg(F.col("x").cast("double")), 3).alias("m")).collect():  # a row for each coordinate of a centre
             new[r["k"]][r["at"]] = r["m"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.llm.quality import words_column
@@ -114,20 +114,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
     share goes to the others. Ends when no marginal is off by more than the tolerance.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = scratch.save(cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(float(total))), "rake-0")
+    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    for by, target in targets.items():
+        now = now.join(target.select(by, F.col("share").alias(f"share_{by}")), by)
+    now = scratch.save(now, "rake-0")
     kept = "rake-0"
     for k in range(1, rounds + 1):
         step = now.withColumn("off", F.lit(0.0))
-        for by, target in targets.items():
-            sums = step.groupBy(by).agg(F.sum("weight").alias("have"))
-            scale = sums.join(target, by).select(by, (F.col("share") / F.col("have")).alias("scale"))
-            step = step.join(scale, by).withColumn("off", F.greatest("off", F.abs(F.col("scale") - 1))).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        now = scratch.save(step.select(*DIMENSIONS, "tokens", "weight", "off"), f"rake-{k}")
+        for by in targets:  # cells only: a row for each class of all three, however many documents
+            scale = F.col(f"share_{by}") / F.sum("weight").over(Window.partitionBy(by))
+            step = step.withColumn("scale", scale).withColumn("off", F.greatest("off", F.abs(F.col("scale") - 1))).withColumn("weight", F.col("weight") * F.col("scale"))
+        now = scratch.save(step.drop("scale"), f"rake-{k}")
         scratch.drop(kept)
         kept = f"rake-{k}"
         if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    return now.drop("off")
+    return now.select(*DIMENSIONS, "tokens", "weight")
 
 
 def rate(cells: DataFrame, budget: float) -> float:

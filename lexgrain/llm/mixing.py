@@ -36,27 +36,26 @@ def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tup
     return rows.withColumn("n_tokens", F.length("bins").cast("long"))
 
 
-def _by_bin(rows: DataFrame, values: Column, *what: Column) -> dict[int, tuple]:
-    """Aggregates what of each place of an array, over all rows: a row for each bin reaches the driver."""
-    found = rows.select("n_tokens", F.posexplode(values).alias("at", "x")).groupBy("at").agg(*what).collect()
-    return {r[0]: tuple(r[1:]) for r in found}
-
-
 def vectors(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows(bins, n_tokens, ...), a written table, with z: each bin's share of a document, drawn toward the mean share by SHRINK words, in standard deviations from it.
+    """rows(bins, n_tokens, lang, ...), a written table, with z: how far each bin's share of a document is from its language's mean share, in standard deviations.
 
-    The weights that this gives a bin, high for bins that documents differ in, stand in for inverse document frequencies.
+    A share is drawn toward that mean by SHRINK words. What a language uses much or little of says nothing
+    of a topic, so that topics and languages can be weighed apart; the deviations, wide for bins that
+    documents differ in, stand in for inverse document frequencies.
     """
     counts = F.transform(F.lit(list(BINS)), lambda b: F.length("bins") - F.length(F.replace("bins", b, F.lit(""))))
     counted = scratch.save(rows.withColumn("counts", counts.cast("array<int>")).drop("bins"), "counts")
     full = counted.where("n_tokens > 0")
-    sums = _by_bin(full, F.col("counts"), F.sum("x"))
-    total = sum(v for v, in sums.values()) or 1
-    mean = [sums.get(i, (0,))[0] / total for i in range(len(BINS))]
-    share = F.zip_with("counts", F.lit(mean), lambda c, m: (c + F.lit(SHRINK) * m) / (F.col("n_tokens") + F.lit(SHRINK)) - m)
-    width = _by_bin(full, share, F.sqrt(F.avg(F.col("x") * F.col("x"))))
-    scale = [1.0 / (width.get(i, (0.0,))[0] or 1.0) for i in range(len(BINS))]
-    return counted.withColumn("z", F.zip_with(share, F.lit(scale), lambda x, w: F.round(x * w, 4)).cast("array<float>")).drop("counts")
+    sums = full.select("lang", F.posexplode("counts").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").cast("double").alias("x"))
+    many = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"), F.sum("x").alias("all"))
+    means = scratch.save(many.select("lang", F.transform("xs", lambda e: e["x"] / F.col("all")).alias("mean")), "means")
+    share = F.zip_with("counts", "mean", lambda c, m: (c + F.lit(SHRINK) * m) / (F.col("n_tokens") + F.lit(SHRINK)) - m)
+    # Left, as a language may have no row with a word; then there is no share and nothing to place.
+    apart = scratch.save(counted.join(means, "lang", "left").withColumn("share", F.when(F.col("n_tokens") > 0, share)).drop("counts", "mean"), "shares")
+    wide = apart.where("n_tokens > 0").select(F.posexplode("share").alias("at", "x")).groupBy("at").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("w")).collect()  # a row for each bin
+    width = {r["at"]: r["w"] for r in wide}
+    scale = [1.0 / (width.get(i) or 1.0) for i in range(len(BINS))]
+    return apart.withColumn("z", F.zip_with("share", F.lit(scale), lambda x, w: F.round(x * w, 4)).cast("array<float>")).drop("share")
 
 
 def dot(z: Column | str, by: list[float]) -> Column:
@@ -157,7 +156,8 @@ def rate(cells: DataFrame, budget: float) -> float:
 def mix(docs: DataFrame, budget: float = 0.5, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: keep, doc_id, source, lang, topic, n_tokens, probability, weight, kept.
 
-    topic is a cluster of hashed TF-IDF vectors of the whole texts, by k-means over all rows. Target shares of the tokens of each source, language and topic are given as targets (column of
+    topic is a cluster of hashed TF-IDF vectors of the whole texts, apart from their languages' means, by
+    k-means over all rows. Target shares of the tokens of each source, language and topic are given as targets (column of
     that name, share), or are the present shares to the given powers. budget is the part of all
     tokens that is expected to be kept. A cell that cannot give its part is kept whole; weight says by
     how much each kept row then counts for the targets to hold. kept compares the probability with a
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, budget: float = 0.5, powers: dict[str, float] | None =
     scratch = Scratch(docs.sparkSession, "mixing")
     placed = scratch.save(vectors(scratch.save(weigh(docs, text, doc_id, keep), "weighed"), scratch), "vectors")
     rows = scratch.save(with_topics(placed).drop("z"), "rows")
-    scratch.drop("weighed", "counts", "vectors")
+    scratch.drop("weighed", "counts", "means", "shares", "vectors")
     cells = scratch.save(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     aims = targets or {by: scratch.save(tempered(cells, by, (powers or TEMPERATURE)[by]), f"aim-{by}") for by in DIMENSIONS}
     raked = rake(cells, aims, scratch)

@@ -190,14 +190,17 @@ def test_topics_against_plain_loops(spark, table):
     """k-means over all rows: each row lies nearest to its own centre, each centre is the mean of its rows, and word use decides."""
     from lexgrain.llm.scratch import Scratch
 
-    rows = [(k, " ".join(words(k, 60, 30) if k % 2 else [f"q{x}" for x in words(k, 60, 30)])) for k in range(120)] + [(900, ""), (901, None)]
+    prose = lambda k: [f"{'en' if k % 3 else 'fr'}{x}" if j % 2 else f"{'a' if k % 2 else 'b'}{x}" for j, x in enumerate(words(k, 60, 8))]
+    rows = [(k, " ".join(prose(k)), "en" if k % 3 else "fr") for k in range(120)] + [(900, ""), (901, None), (902, "", "xx")]
+    texts = {i: t for i, t, *_ in rows}
     scratch = Scratch(spark, "t")
     weighed = scratch.save(mixing.weigh(table(rows)), "w")
-    assert {r.doc_id: r.n_tokens for r in weighed.collect()} == {i: len((t or "").split()) for i, t in rows}
+    assert {r.doc_id: r.n_tokens for r in weighed.collect()} == {i: len((t or "").split()) for i, t in texts.items()}
     vectors = scratch.save(mixing.vectors(weighed, scratch), "v")
     bins = {r.doc_id: [r.bins.count(b) for b in mixing.BINS] for r in weighed.collect() if r.n_tokens}
-    mean = np.sum(list(bins.values()), axis=0) / sum(map(sum, bins.values()))
-    share = {i: (np.array(c) + 20 * mean) / (sum(c) + 20) - mean for i, c in bins.items()}
+    lang = {i: rest[0] if rest else "en" for i, _, *rest in rows}
+    mean = {k: np.sum([c for i, c in bins.items() if lang[i] == k], axis=0) / sum(sum(c) for i, c in bins.items() if lang[i] == k) for k in ("en", "fr")}
+    share = {i: (np.array(c) + 20 * mean[lang[i]]) / (sum(c) + 20) - mean[lang[i]] for i, c in bins.items()}
     width = np.sqrt(np.mean([x * x for x in share.values()], axis=0))
     for r in vectors.where("n_tokens > 0").collect():
         assert np.allclose(r.z, share[r.doc_id] / np.where(width > 0, width, 1), atol=1e-3)
@@ -208,7 +211,7 @@ def test_topics_against_plain_loops(spark, table):
     assert {i: r.topic for i, r in got.items()} == {i: f"t{near[i]}" if i in near else "empty" for i in got}
     for k in (0, 1):
         assert np.allclose(centres[k], np.mean([x for i, x in z.items() if near[i] == k], axis=0), atol=0.02)
-    assert len({(i % 2, near[i]) for i in near}) == 2
+    assert len({(i % 2, near[i]) for i in near}) == 2  # topics, not languages
 
 
 def test_raking_meets_its_targets(spark, documents):

@@ -25,7 +25,9 @@ from lexgrain.llm.scratch import Scratch, replaced
 SPACE = "▁"
 N_BEST = 4
 FOUND = "piece_ids array<int>, best_score double, alternatives array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
-CACHE = 900_000
+CACHE = 500_000
+#: Units whose lattices are built together.
+LEARN = 40_000
 PENALTY = 10.0
 ALTERNATIVES = pa.list_(pa.struct({"score": pa.float64(), "edits": pa.list_(pa.struct({"at": pa.int32(), "n": pa.int32(), "ids": pa.list_(pa.int32())}))}))
 DIGESTS = {"n_pieces": pa.int64(), "best_score": pa.float64(), "n_segmentations": pa.int32(), "margin": pa.float64(), "ids_sha256": pa.string(), "round_trip": pa.bool_()}
@@ -350,7 +352,8 @@ class Encoder:
     def learn(self, units: set[str]):
         short = [u for u in units if len(u) <= LONG_UNIT]
         if len(short) >= 16:
-            self._keep(short, *self.lattice.first_two_of(short))
+            for k in range(0, len(short), LEARN):
+                self._keep(short[k : k + LEARN], *self.lattice.first_two_of(short[k : k + LEARN]))
             units = units.difference(short)
         for u in units:
             ids, best, gap = self.lattice.first_two(u)
@@ -359,7 +362,7 @@ class Encoder:
     def prepare(self, texts) -> list[list[str] | None]:
         """Learn what a batch of texts needs, all together; forget before it if too much is known.
 
-        Returns the units of the texts, of a million units in all at most; None for the others.
+        Returns the units of the texts, of half a million units in all at most; None for the others.
         """
         if len(self.known) > CACHE:
             self._forget()
@@ -371,8 +374,8 @@ class Encoder:
             units = self.units_of(t) if t else []
             new.update(units)
             held += len(units)
-            out.append(units if held <= 1 << 20 else None)
-            if len(new) > 200_000:
+            out.append(units if held <= 1 << 19 else None)
+            if len(new) > LEARN:
                 self.learn(new.difference(self.known))
                 new = set()
         self.learn(new.difference(self.known))

@@ -247,7 +247,12 @@ def configured(spark, sf_dir):
     return config.repositories(spark, c).select("id", "language", "source", F.lit(len(evaluate.grid(**c["grid"]))).alias("grid"))
 
 
-@query(f"WITH {FILES}, {BALANCED} SELECT bs.repo, bs.path, bs.size, concat('/c/balanced/', bs.repo) AS source FROM bs")
+# Of spare files of one size the swap takes the last path below the wanted size and the first at or above it.
+SPARES = "(SELECT repo, size, min(path) AS least, max(path) AS most FROM ch WHERE NOT chosen GROUP BY ALL)"
+PATHS = BALANCED.replace("'i': b.path}", "'i': CASE WHEN b.size < a.tb - a.now + a.size THEN b.most ELSE b.least END}").replace("b.size, b.path)", "b.size)").replace("JOIN ch b ON a.repo = b.repo AND a.chosen AND NOT b.chosen", f"JOIN {SPARES} b ON a.repo = b.repo AND a.chosen")
+
+
+@query(f"WITH {FILES}, {PATHS} SELECT bs.repo, bs.path, bs.size, concat('/c/balanced/', bs.repo) AS source FROM bs")
 def selected_files(spark, sf_dir):
     """The files of the balanced sample, with their repository's source."""
     from lexgrain.operators import balance

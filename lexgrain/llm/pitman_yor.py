@@ -191,8 +191,6 @@ def _uniform(marks: np.ndarray, turn: int, k: int) -> np.ndarray:
 def drawn(n: np.ndarray, p: np.ndarray, marks: np.ndarray, turn: int, k: int) -> np.ndarray:
     """Binomial numbers that depend on the mark, the turn and k alone: the inverse of the distribution, a normal number where its mean is large."""
     u = _uniform(marks, turn, k)
-    if n.max() == 1:
-        return (u < p).astype(np.int64)
     out, large = np.zeros(len(n), np.int64), n * p > 200
     z = np.sqrt(-2 * np.log(u[large])) * np.cos(2 * np.pi * _uniform(marks[large], turn, k | 1 << 31))
     out[large] = np.clip(np.rint(n[large] * p[large] + z * np.sqrt(n[large] * p[large] * (1 - p[large]))), 0, n[large])
@@ -210,28 +208,38 @@ def drawn(n: np.ndarray, p: np.ndarray, marks: np.ndarray, turn: int, k: int) ->
 def seat_pairs(customers: np.ndarray, base: np.ndarray, discounted: float, marks: np.ndarray, turn: int) -> np.ndarray:
     """seat() by numbers drawn from the pair's mark, so that every batch that has the pair finds the same tables."""
     tables = (customers > 0).astype(np.int64)
-    here, k = np.flatnonzero(customers > 1), 1
-    while len(here):
+    busy = np.flatnonzero(customers > 1)
+    busy = busy[np.argsort(-customers[busy], kind="stable")]  # those still coming in are the first ones
+    c, b, t, m = customers[busy], base[busy], tables[busy], marks[busy]
+    k = 1
+    while n := int(np.searchsorted(-c, -k)):
+        p = np.clip(b[:n] / (b[:n] + k - discounted * t[:n]), 0, 1 - 1e-12)
         stride = max(1, k // 5) if k >= 64 else 1
-        step = np.minimum(stride, customers[here] - k)
-        p = base[here] / (base[here] + k - discounted * tables[here])
-        tables[here] += drawn(step, np.clip(p, 0, 1 - 1e-12), marks[here], turn, k)
+        t[:n] += _uniform(m[:n], turn, k) < p if stride == 1 else drawn(np.minimum(stride, c[:n] - k), p, m[:n], turn, k)
         k += stride
-        here = here[customers[here] > k]
-    return np.minimum(tables, customers)
+    tables[busy] = np.minimum(t, c)
+    return tables
 
 
 def bigrams(code: np.ndarray, info: np.ndarray, hashes: np.ndarray):
-    """(places of the tokens that follow a word, each one's pair, and by pair, in order of marks, its left word, right word and mark).
+    """(places of the tokens that follow a word, pair after pair, where each pair begins among them, and by pair, in order of marks, its left word, right word and mark).
 
     A text's first word has no word before it; the end is left to the word restaurant.
     """
-    inner = hashes[code] != END_HASH
+    digests = hashes[code]
+    inner = digests != END_HASH
     inner[np.cumsum(info[:, 3]) - info[:, 3]] = False
     token = np.flatnonzero(inner)
-    left, right = code[token - 1], code[token]
-    marks, first, at = np.unique(mix(hashes[left], hashes[right]), return_index=True, return_inverse=True)
-    return token, at, left[first].astype(np.int64), right[first].astype(np.int64), marks
+    marks = mix(digests[token - 1], digests[token])
+    order = np.argsort(marks)
+    token, marks = token[order], marks[order]
+    begin = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])) if len(marks) else np.empty(0, np.int64)
+    return token, begin, code[token[begin] - 1].astype(np.int64), code[token[begin]].astype(np.int64), marks[begin]
+
+
+def by_pair(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums over each pair's tokens."""
+    return np.add.reduceat(x.astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
 
 
 def _cuts(bucket: np.ndarray, buckets: int) -> np.ndarray:
@@ -275,8 +283,8 @@ def ask(docs: DataFrame, buckets: int) -> DataFrame:
             train = np.repeat(np.array([not x[2] for x in held]), size)
             begin = np.cumsum(size) - size
             count = lambda x: np.bincount(x, minlength=len(order))
-            token, at, left, right, marks = bigrams(code, info, hashes)
-            n = np.bincount(at, train[token], minlength=len(marks)).astype(np.int64)
+            token, pair, left, right, _ = bigrams(code, info, hashes)
+            n = by_pair(train[token], pair)
             train[begin[info[:, 5] == 1]] = False  # a word that only is context here
             alone = train.copy()
             alone[token] = False
@@ -319,9 +327,9 @@ def pair_asks(batches_: DataFrame, buckets: int) -> DataFrame:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
                 info, code = np.frombuffer(r.more, np.int64).reshape(-1, 6), _unzip(r.blob, np.uint32).astype(np.int64)
-                token, at, _, _, marks = bigrams(code, info, np.frombuffer(r.hashes, np.uint64))
+                token, pair, _, _, marks = bigrams(code, info, np.frombuffer(r.hashes, np.uint64))
                 train = np.repeat(info[:, 2] == 0, info[:, 3])
-                n = np.bincount(at, train[token], minlength=len(marks)).astype(np.int64)
+                n = by_pair(train[token], pair)
                 cuts = _cuts(_pair_bucket(marks, buckets), buckets)
                 rows = [(2, r.batch, int(b), _zip(np.diff(marks[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), _zip(n[cuts[b] : cuts[b + 1]]), None) for b in np.flatnonzero(np.diff(cuts))]
                 yield pd.DataFrame(rows, columns=ROW_COLUMNS)
@@ -415,7 +423,11 @@ def spelling_counts(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sweep(vocab: DataFrame, spelling, strength: float, discounted: float, turn: int) -> DataFrame:
-    """New tables for every word, given the spelling model, the tables laid before and the customers the pairs send."""
+    """New tables for every word, given the spelling model, the tables laid before and the customers the pairs send.
+
+    The first seating, which no score averages, goes when the second is there.
+    """
+    gone = int(turn == 1)
 
     def run(batches):
         for pdf in batches:
@@ -423,7 +435,7 @@ def sweep(vocab: DataFrame, spelling, strength: float, discounted: float, turn:
                 words, c, inside, customers, tables, spelt = _unchunk(r)
                 p = spelling.value.probabilities(words)
                 t = seat(customers[-1], strength * p, discounted, np.random.default_rng([turn, r.bucket, r.chunk]))
-                yield pd.DataFrame([_chunk(r.bucket, r.chunk, words, c, inside, customers, [*tables, t], [*spelt, p])], columns=WORD_COLUMNS)
+                yield pd.DataFrame([_chunk(r.bucket, r.chunk, words, c, inside[gone:], customers[gone:], [*tables, t][gone:], [*spelt, p][gone:])], columns=WORD_COLUMNS)
 
     return vocab.mapInPandas(run, WORDS)
 
@@ -473,13 +485,12 @@ def answers(vocab: DataFrame, places: DataFrame, buckets: int, seatings: list[Se
 
 
 class Batch:
-    """A batch with what it asked for: its words' probabilities by seating, its pairs' counts, and their tables by turn."""
+    """A batch with what it asked for: its words' probabilities by seating and its pairs' counts."""
 
-    def __init__(self, doc, words, pairs, seatings: list[Seating], discounted: float, turn: int):
-        """turn: of the tables that the first seating leads to."""
+    def __init__(self, doc, words, pairs, seatings: list[Seating], discounted: float):
         self.info = np.frombuffer(doc[1], np.int64).reshape(-1, 6)
         self.code = _unzip(doc[0], np.uint32).astype(np.int64)
-        self.token, self.at, self.left, self.right, self.marks = bigrams(self.code, self.info, np.frombuffer(doc[2], np.uint64))
+        self.token, self.begin, self.left, self.right, self.marks = bigrams(self.code, self.info, np.frombuffer(doc[2], np.uint64))
         words.sort(key=lambda x: x[0])
         pairs.sort(key=lambda x: x[0])
         k = len(seatings)
@@ -492,33 +503,36 @@ class Batch:
         assert len(n) == len(self.marks)
         self.customers, self.owned = n >> 1, (n & 1 == 1) & (n > 1)
         self.base = [(STRENGTH + discounted * t[self.left]) * x[self.right] / (1 - s.end) for t, x, s in zip(self.inside, self.words, seatings, strict=True)]
-        self.seatings, self.discounted, self.turn = seatings, discounted, turn
-
-    def seated(self, k: int) -> np.ndarray:
-        return seat_pairs(self.customers, self.base[k], self.discounted, self.marks, self.turn + k)
-
-    def probabilities(self) -> np.ndarray:
-        """Of each token, averaged over the seatings after the first."""
-        total = np.zeros(len(self.code))
-        for k in range(1, len(self.seatings)):
-            p = self.words[k][self.code]
-            own = self.customers - self.discounted * self.seated(k - 1) * (self.customers > 0)
-            p[self.token] = ((1 - self.seatings[k].end) * (own + self.base[k]) / (STRENGTH + self.before[self.left]))[self.at]
+        self.seatings, self.discounted = seatings, discounted
+
+    def seated(self, turn: int) -> np.ndarray:
+        return seat_pairs(self.customers, self.base[0], self.discounted, self.marks, turn)
+
+    def probabilities(self, laid: list) -> np.ndarray:
+        """Of each token, averaged over the seatings. laid: (turn, tables of the pairs of more than one customer)."""
+        total, size, seen = np.zeros(len(self.code)), np.diff(np.append(self.begin, len(self.token))), (self.customers > 0).astype(np.int64)
+        busy, of_turn = np.flatnonzero(self.customers > 1), dict(laid)
+        for k, s in enumerate(self.seatings):
+            p, tables = self.words[k][self.code], seen.copy()
+            if len(busy):
+                tables[busy] = _unzip(of_turn[k + 1], np.int64)
+            own = self.customers - self.discounted * tables
+            p[self.token] = np.repeat((1 - s.end) * (own + self.base[k]) / (STRENGTH + self.before[self.left]), size)
             total += p
-        return total / (len(self.seatings) - 1)
+        return total / len(self.seatings)
 
 
-def by_batch(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, use, schema: str) -> DataFrame:
-    """Rows that use(name, doc, words, pairs) makes of each batch."""
+def by_batch(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, use, schema: str, *laid: DataFrame) -> DataFrame:
+    """Rows that use(name, doc, words, pairs, laid) makes of each batch. laid: kind 3, the pairs' tables by turn."""
 
     def run(parts):
-        name, doc, got = None, None, ([], [])
+        name, doc, got = None, None, ([], [], [])
         for pdf in parts:
             for r in pdf.itertuples(index=False):
                 if r.batch != name:
                     if doc is not None:
                         yield use(name, doc, *got)
-                    name, doc, got = r.batch, None, ([], [])
+                    name, doc, got = r.batch, None, ([], [], [])
                 if r.kind == 0:
                     doc = (r.blob, r.more, r.hashes)
                 else:
@@ -527,30 +541,35 @@ def by_batch(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, use, sc
             yield use(name, doc, *got)
 
     n = partitions(batches_.sparkSession)
-    asked = pairs.select("kind", "batch", "bucket", "blob", F.lit(None).cast("binary").alias("more"), F.lit(None).cast("binary").alias("hashes"))
-    dealt = batches_.unionByName(answered).unionByName(asked).repartition(n, "batch").sortWithinPartitions("batch", "kind", "bucket")
+    dealt = batches_.unionByName(answered)
+    for x in (pairs, *laid):
+        dealt = dealt.unionByName(x.select("kind", "batch", "bucket", "blob"), allowMissingColumns=True)
+    dealt = dealt.repartition(n, "batch").sortWithinPartitions("batch", "kind", "bucket")
     return dealt.mapInPandas(run, schema)
 
 
 def pair_tables(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, seating: Seating, discounted: float, turn: int) -> DataFrame:
-    """New tables for every pair, given the words' probabilities; summed by left and by right word of the batch that seats the pair, for each bucket."""
+    """New tables for every pair, given the words' probabilities. Kind 2: summed by left and by right word of the batch that seats the pair, for each bucket. Kind 3: of the batch's pairs of more than one customer, for the scores."""
 
-    def use(name, doc, words, asked):
-        x = Batch(doc, words, asked, [seating], discounted, turn)
-        t = x.seated(0)[x.owned]
+    def use(name, doc, words, asked, _):
+        x = Batch(doc, words, asked, [seating], discounted)
+        every = x.seated(turn)
+        t = every[x.owned]
         alone = np.repeat(x.info[:, 2] == 0, x.info[:, 3])
         alone[(np.cumsum(x.info[:, 3]) - x.info[:, 3])[x.info[:, 5] == 1]] = False
         alone[x.token] = False
         n = len(x.counts)
         inside = np.bincount(x.left[x.owned], t, n).astype(np.int64)
         customers = (np.bincount(x.right[x.owned], t, n) + np.bincount(x.code[alone], minlength=n)).astype(np.int64)
-        rows, begin = [], 0
+        rows, begin, busy = [], 0, every[x.customers > 1]
         for b, size in x.buckets:
-            rows.append((name, b, _zip(np.concatenate([inside[begin : begin + size], customers[begin : begin + size]]))))
+            rows.append((2, name, b, _zip(np.concatenate([inside[begin : begin + size], customers[begin : begin + size]]))))
             begin += size
-        return pd.DataFrame(rows, columns=["batch", "bucket", "blob"])
+        if len(busy):
+            rows.append((3, name, turn, _zip(busy)))
+        return pd.DataFrame(rows, columns=["kind", "batch", "bucket", "blob"])
 
-    return by_batch(batches_, pairs, answered, use, "batch string, bucket int, blob binary")
+    return by_batch(batches_, pairs, answered, use, "kind int, batch string, bucket int, blob binary")
 
 
 def gathered(vocab: DataFrame, places: DataFrame, laid: DataFrame, buckets: int) -> DataFrame:
@@ -579,19 +598,19 @@ def gathered(vocab: DataFrame, places: DataFrame, laid: DataFrame, buckets: int)
                 begin += len(words)
                 yield pd.DataFrame([_chunk(b, r.chunk, words, c, [*inside, more[0]], [*customers, more[1]], tables, spelt)], columns=WORD_COLUMNS)
 
-    new = laid.select(F.lit(2).alias("kind"), "batch", "bucket", F.col("blob").alias("counts"))
+    new = laid.withColumnRenamed("blob", "counts")
     rows = vocab.unionByName(places).unionByName(new, allowMissingColumns=True)
     return rows.repartitionById(buckets, F.col("bucket")).mapInPandas(run, WORDS)
 
 
-def scored(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, seatings: list[Seating], discounted: float, n_train: int, n_types: int) -> DataFrame:
+def scored(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, laid: list[DataFrame], seatings: list[Seating], discounted: float, n_train: int, n_types: int) -> DataFrame:
     """The documents' sums: row, doc_id, held, tokens, known, base, score, open; a very long text has a row for each piece."""
 
-    def use(name, doc, words, asked):
-        x = Batch(doc, words, asked, seatings, discounted, 1)
+    def use(name, doc, words, asked, tables):
+        x = Batch(doc, words, asked, seatings, discounted)
         c, begin = x.counts, np.cumsum(x.info[:, 3]) - x.info[:, 3]
         base = np.log10((c + ALPHA) / (n_train + ALPHA * (n_types + 1)))[x.code]
-        score, own = np.log10(x.probabilities()), np.ones(len(x.code), np.int64)
+        score, own = np.log10(x.probabilities([t[:2] for t in tables])), np.ones(len(x.code), np.int64)
         own[begin[x.info[:, 5] == 1]] = 0
         known = c[x.code] > 0
         add = lambda v: np.add.reduceat(v * own, begin)
@@ -599,22 +618,22 @@ def scored(batches_: DataFrame, pairs: DataFrame, answered: DataFrame, seatings:
         ids[x.info[:, 4] == 1] = pd.NA
         return pd.DataFrame({"row": x.info[:, 0], "doc_id": ids, "held": x.info[:, 2] == 1, "tokens": add(np.ones(len(own), np.int64)), "known": add(known.astype(np.int64)), "base": add(base), "score": add(score), "open": add(np.where(known, score, score + np.log10(x.spelt)[x.code]))})
 
-    return by_batch(batches_, pairs, answered, use, "row long, doc_id long, held boolean, tokens long, known long, base double, score double, open double")
+    return by_batch(batches_, pairs, answered, use, "row long, doc_id long, held boolean, tokens long, known long, base double, score double, open double", *laid)
 
 
-def _by_kind(asks: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Kinds 0 and 1 as tables of their own, so that each can be deleted after its last reader."""
-    spark, name = asks.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+def _by_kind(rows: DataFrame, scratch: Scratch, table: str, kinds: tuple[int, int]) -> list[DataFrame]:
+    """The two kinds as tables of their own, so that each can be deleted after its last reader."""
+    spark, name, root = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", f"{scratch.root}/{table}"
     before = spark.conf.get(name, "0")
     spark.conf.set(name, "2")  # else each task sorts its blobs by kind
     try:
-        asks.write.partitionBy("kind").option("parquet.block.size", 16 << 20).parquet(f"{scratch.root}/asks")
+        rows.write.partitionBy("kind").option("parquet.block.size", 16 << 20).parquet(root)
     finally:
         spark.conf.set(name, before)
-    shape = asks.drop("kind").schema
-    read = lambda k: spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{scratch.root}/asks/kind={k}")
-    exists = {k for k in (0, 1) if _exists(spark, f"{scratch.root}/asks/kind={k}")}
-    return [(read(k) if k in exists else spark.createDataFrame([], shape)).select(F.lit(k).alias("kind"), *shape.names) for k in (0, 1)]
+    shape = rows.drop("kind").schema
+    read = lambda k: spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{root}/kind={k}")
+    exists = {k for k in kinds if _exists(spark, f"{root}/kind={k}")}
+    return [(read(k) if k in exists else spark.createDataFrame([], shape)).select(F.lit(k).alias("kind"), *shape.names) for k in kinds]
 
 
 def _exists(spark, path: str) -> bool:
@@ -642,7 +661,7 @@ def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, tex
     scratch, buckets = Scratch(spark, "pitman-yor"), partitions(spark)
     held = F.coalesce(fold(doc_id, 10) == 0, F.lit(True)) if held is None else held
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(doc_id).isNull().alias("none"), held.alias("held"), F.col(text).cast("string").alias("text"))
-    batches, word_asks = _by_kind(ask(source, buckets), scratch)
+    batches, word_asks = _by_kind(ask(source, buckets), scratch, "asks", (0, 1))
     pairs = scratch.save(pair_counts(pair_asks(batches, buckets), buckets), "pairs")
     scratch.drop(shuffles=True)
     of_pairs = pairs.agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
@@ -656,20 +675,21 @@ def score(docs: DataFrame, held: Column | None = None, sweeps: int = SWEEPS, tex
     n_types, n_train = now["n_words"] or 0, now["n_tokens"] or 0
     discounted = _discount(now)
     new = min(max((now["one"] or 0) / max(discounted * (now["n_tables"] or 0), 1.0), 0.01), 0.99) if n_types else 1.0
-    seatings: list[Seating] = []
+    seatings, tables = [], []
     for turn in range(sweeps + 1):
         if turn:
             answered = scratch.save(answers(vocab, places, buckets, seatings, 1), f"answers-{turn}")
-            laid = scratch.save(pair_tables(batches, pairs, answered, seatings[-1], inner, turn), f"laid-{turn}")
+            laid, of_turn = _by_kind(pair_tables(batches, pairs, answered, seatings[-1], inner, turn), scratch, f"laid-{turn}", (2, 3))
+            tables.append(of_turn)
             scratch.drop(f"answers-{turn}", shuffles=True)
             vocab = scratch.save(gathered(vocab, places, laid, buckets), f"customers-{turn}")
-            scratch.drop(f"laid-{turn}", f"seated-{turn - 1}", shuffles=True)
+            scratch.drop(f"laid-{turn}/kind=2", f"seated-{turn - 1}", shuffles=True)
         spelling = spark.sparkContext.broadcast(Spelling(*spelling_counts(vocab), seed=turn + 1))
         vocab = scratch.save(sweep(vocab, spelling, STRENGTH + discounted * (now["n_tables"] or 0), discounted, turn), f"seated-{turn}")
         scratch.drop(*([f"customers-{turn}"] if turn else []))
         now = sums(vocab)
         seatings.append(Seating(now, discounted, new))
-    answered = scratch.save(answers(vocab, places, buckets, seatings, sweeps + 1), "answers")
+    answered = scratch.save(answers(vocab, places, buckets, seatings, sweeps), "answers")
     scratch.drop("words", f"seated-{sweeps}", shuffles=True)
-    rows = scored(batches, pairs, answered, seatings, inner, n_train, n_types).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("open").alias("open_score"))
+    rows = scored(batches, pairs, answered, tables, seatings[1:], inner, n_train, n_types).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("open").alias("open_score"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "open_score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

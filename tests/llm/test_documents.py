@@ -557,6 +557,10 @@ def test_pairs_seat_alike_wherever_they_are():
     some = rng.permutation(2000)[:300]
     assert (pitman_yor.seat_pairs(c[some], base[some], 0.5, marks[some], 1) == t[some]).all()
     assert (t <= c).all() and ((t > 0) == (c > 0)).all()
+    ends = c == 65  # one customer is left over when strides begin
+    c[:400], ends[:400] = 65, True
+    t = pitman_yor.seat_pairs(c, base, 0.5, marks, 1)
+    assert (pitman_yor.seat_pairs(c[ends], base[ends], 0.5, marks[ends], 1) == t[ends]).all()
     plain = np.mean([pitman_yor.seat(c, base, 0.5, np.random.default_rng(k)).sum() for k in range(5)])
     assert t.sum() == pytest.approx(plain, rel=0.02)
 

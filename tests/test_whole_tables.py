@@ -22,7 +22,7 @@ def test_python_regions_read_whole_texts(spark, tmp_path):
 def test_set_ops_read_all_customers(spark):
     keys = lambda t, c: {r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()}
     s, c, n = keys("supplier", "s_nationkey"), keys("customer", "c_nationkey"), keys("nation", "n_nationkey")
-    assert {r.op: r.n for r in catalogue.set_ops_whole(spark, SF).collect()} == {"union": len(s | c), "intersect": len(s & c), "except": len(n - c)}
+    assert {r.op: r.n for r in catalogue.set_ops(spark, SF).collect()} == {"union": len(s | c), "intersect": len(s & c), "except": len(n - c)}
 
 
 def test_plans_are_checked_apart(spark):

@@ -550,6 +550,13 @@ def test_pitman_yor_pairs_across_pieces():
     assert whole[4].tolist() == parts[4].tolist() and len(whole[0]) == len(parts[0]) == 3
 
 
+def test_marks_are_ordered_whatever_bits_they_differ_in():
+    rng = np.random.default_rng(1)
+    wide = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    for marks in (wide, np.append(wide, wide), np.append(wide, wide ^ np.uint64(1)), rng.integers(0, 64, 5000).astype(np.uint64), wide[:1], wide[:0]):
+        assert (pitman_yor.ordered(marks) == np.argsort(marks, kind="stable")).all()
+
+
 def test_pairs_seat_alike_wherever_they_are():
     rng = np.random.default_rng(0)
     c, base, marks = rng.integers(0, 3000, 2000), rng.random(2000) * 50, rng.integers(0, 2**63, 2000).astype(np.uint64)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,28 +253,109 @@ def each_config(rows: DataFrame, configs: DataFrame) -> DataFrame:
     return rows.withColumn("__c", F.explode(F.array(*some))).select(*rows.columns, "__c.*")
 
 
+def _by_document(features: DataFrame, last: int) -> DataFrame:
+    """A row for each document of a task, the first terms as columns; there has a bit for each term present."""
+    at = [F.col("term_no") == i for i in range(1, last + 1)]
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    there = F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("term_no") - 1).cast("int"))).alias("there")
+    columns = [c for i, x in enumerate(at, 1) for c in (F.max(F.when(x, F.col("tf").cast("double"))).alias(f"tf_{i}"), F.max(F.when(x, idf.cast("double"))).alias(f"idf_{i}"))]
+    alike = [F.max(F.col(c).cast(t)).alias(c) for c, t in (("doc_length", "double"), ("avg", "double"), ("n_terms", "int"))]
+    out = features.where(F.col("term_no").between(1, last)).groupBy("task_id", "doc_id").agg(there, *columns, *alike)
+    return out.where((F.col("there").bitwiseAND(1) == 1) | (F.col("n_terms") < 1))  # the first term is always required
+
+
+def _kept_points(batch, configs: list[dict], last: int):
+    """For each length and ratio of the configurations: their places in the list, the rows of the batch that they keep, and these rows' points under each.
+
+    As in SQL a term without a number adds nothing, and a sum of none or of no number counts as 1000 points.
+    """
+    column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
+    known = lambda k: batch.column(k).is_valid().to_numpy(zero_copy_only=False)
+    models = list(dict.fromkeys((c["k1"], c["b"]) for c in configs))
+    k1, b = (np.array(x)[None, :] for x in zip(*models, strict=True))
+    there, n_terms = column("there").astype(np.int64), column("n_terms").astype(np.int64)
+    with np.errstate(all="ignore"):
+        norm = 1.0 - b + b * column("doc_length").astype(float)[:, None] / column("avg").astype(float)[:, None]
+        parts, valid = [], []
+        for i in range(1, last + 1):
+            tf, idf = (column(f"{k}_{i}").astype(float)[:, None] for k in ("tf", "idf"))
+            parts.append(idf * (tf * (k1 + 1.0) / (tf + k1 * norm)))
+            valid.append(known(f"tf_{i}") & known(f"idf_{i}") & known("doc_length") & known("avg"))
+        for max_terms, ratio in dict.fromkeys((c["max_terms"], c["min_match_ratio"]) for c in configs):
+            places = [i for i, c in enumerate(configs) if (c["max_terms"], c["min_match_ratio"]) == (max_terms, ratio)]
+            of = [models.index((configs[i]["k1"], configs[i]["b"])) for i in places]
+            terms = np.minimum(n_terms, max_terms)
+            head = np.where(terms < 2, terms, np.maximum(1, np.floor(terms * (1.0 - ratio)))).astype(np.int64)
+            must, within = (1 << head) - 1, there & ((1 << max_terms) - 1)
+            rows = np.flatnonzero((within != 0) & (within & must == must) & ((terms <= head) | (within & ~must != 0)))
+            yield np.array(places), rows, lambda some, n=max_terms, head=head, of=of: _summed(some, parts[:n], valid, head, of)
+
+
+def _summed(rows, parts, valid, head, of):
+    total, any_valid = np.zeros((len(rows), len(of))), np.zeros(len(rows), bool)
+    for t, part in enumerate(parts):  # in the query's order: the same sum in each run
+        ok = valid[t][rows]
+        total += np.where(ok[:, None], part[np.ix_(rows, of)] * np.where(t < head[rows], 1.0, 0.5)[:, None], 0.0)
+        any_valid |= ok
+    total[~any_valid] = np.nan
+    return np.fmax(NOT_KEPT + 1, np.fmin(1000.0, np.floor(total * 100))).astype(np.int32)
+
+
+# Fixed value: the points of a document that a configuration does not keep.
+NOT_KEPT = -(2**31)
+
+
 def grid_scores(features: DataFrame, tasks: DataFrame, configs: DataFrame, top: int = 10) -> DataFrame:
     """Ranks of the gold document of each task under each configuration, all at once.
 
-    features(task_id, doc_id, term_no, tf, df, doc_length, n, avg): the postings of the tasks' terms, so a
-    row for each term of a task in a document. tasks(task_id, difficulty, gold_doc).
+    features(task_id, doc_id, term_no, tf, df, doc_length, n, avg, n_terms): the postings of the tasks' terms,
+    so a row for each term of a task in a document; terms are numbered from 1. tasks(task_id, gold_doc).
+    No row is made for a configuration: a document's terms become columns, and Arrow batches score it under
+    all. The rank of the gold document is one more than the documents ahead of it: a count, not a sort. To the
+    driver come the configurations and, for each task whose gold document is found, its points under each.
     """
-    few = each_config(features, configs).where(F.col("term_no") <= F.col("max_terms"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    tf = F.col("tf").cast("double")
-    score = idf * (tf * (F.col("k1") + 1.0) / (tf + F.col("k1") * (1.0 - F.col("b") + F.col("b") * F.col("doc_length") / F.col("avg"))))
-    terms = F.least("n_terms", "max_terms")
-    head = F.when(terms < 2, terms).otherwise(F.greatest(F.lit(1), F.floor(terms * (1.0 - F.col("min_match_ratio"))).cast("int")))
-    must = F.col("term_no") <= F.col("head")
-    per = few.withColumn("s", score).withColumn("head", head).withColumn("need", (terms > head).cast("int"))
-    part = F.struct("term_no", F.when(must, F.col("s")).otherwise(F.col("s") * 0.5).alias("s"))
-    total = F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda a, x: a + x["s"])  # in the query's order: the same sum in each run
-    docs = per.groupBy("cfg", "task_id", "doc_id", "head", "need").agg(total.alias("score"), F.sum(must.cast("int")).alias("musts"), F.sum((~must).cast("int")).alias("shoulds"))
-    kept = docs.where((F.col("musts") == F.col("head")) & (F.col("shoulds") >= F.col("need"))).withColumn("points", F.least(F.lit(1000.0), F.floor(F.col("score") * 100)).cast("int"))
-    # The rank of the gold document is one more than the documents ahead of it: a count, not a sort of all results.
-    gold = kept.join(tasks.select("task_id", F.col("gold_doc").alias("doc_id")), ["task_id", "doc_id"]).select("cfg", "task_id", F.col("doc_id").alias("gold_doc"), F.col("points").alias("gold_points"))
-    ahead = kept.join(gold, ["cfg", "task_id"]).groupBy("cfg", "task_id").agg((F.sum(((F.col("points") > F.col("gold_points")) | ((F.col("points") == F.col("gold_points")) & (F.col("doc_id") < F.col("gold_doc")))).cast("int")) + 1).alias("rank"))
-    return ahead.where(F.col("rank") <= top)
+    spark, kind = features.sparkSession, {f.name: f.dataType.simpleString() for f in features.schema}
+    some = [r.asDict() for r in configs.collect()]
+    last = max((c["max_terms"] for c in some), default=0)
+    if last < 1:
+        return spark.createDataFrame([], f"cfg {dict(configs.dtypes).get('cfg', 'int')}, task_id {kind['task_id']}, rank long")
+
+    def gold_points(batches):
+        for batch in batches:
+            points = np.full((batch.num_rows, len(some)), NOT_KEPT, np.int32)
+            for places, rows, of in _kept_points(batch, some, last):
+                points[np.ix_(rows, places)] = of(rows)
+            found = (points > NOT_KEPT).any(axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(some), pa.int32()), pa.array(points.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("task_id"), batch.column("doc_id"), lists], ["task_id", "gold_doc", "points"]).filter(pa.array(found))
+
+    pairs = tasks.select("task_id", F.col("gold_doc").alias("doc_id"))
+    gold = _by_document(features.join(F.broadcast(pairs), ["task_id", "doc_id"], "left_semi"), last)
+    gold = gold.mapInArrow(gold_points, f"task_id {kind['task_id']}, gold_doc {kind['doc_id']}, points array<int>").collect()
+    goals = np.array([r["points"] for r in gold], np.int32).reshape(len(gold), len(some))
+    known = spark.createDataFrame([(r["task_id"], r["gold_doc"], i) for i, r in enumerate(gold)], f"task_id {kind['task_id']}, gold_doc {kind['doc_id']}, at int")
+
+    def count_ahead(batches):
+        ahead, met = np.zeros(goals.shape, np.int64), np.zeros(len(goals), bool)
+        for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column("at").to_numpy(), kind="stable")))
+            at, before = batch.column("at").to_numpy(), batch.column("before").to_numpy(zero_copy_only=False)
+            met[at] = True
+            for places, rows, of in _kept_points(batch, some, last):
+                rows = rows[goals[at[rows], places[0]] > NOT_KEPT]  # which documents are kept hangs on the length and the ratio only
+                if not len(rows):
+                    continue
+                points, goal = of(rows), goals[np.ix_(at[rows], places)]
+                first = np.flatnonzero(np.diff(at[rows], prepend=-1))
+                ahead[np.ix_(at[rows][first], places)] += np.add.reduceat((points > goal) | ((points == goal) & before[rows][:, None]), first, axis=0, dtype=np.int64)
+        task, cfg = np.nonzero(met[:, None] & (goals > NOT_KEPT))
+        yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), pa.array(cfg.astype(np.int32)), pa.array(ahead[task, cfg])], ["at", "place", "ahead"])
+
+    docs = _by_document(features.join(F.broadcast(known.select("task_id")), "task_id", "left_semi"), last).join(F.broadcast(known), "task_id")
+    docs = docs.withColumn("before", F.coalesce(F.col("doc_id") < F.col("gold_doc"), F.lit(False))).drop("task_id", "doc_id", "gold_doc")
+    ranks = docs.mapInArrow(count_ahead, "at int, place int, ahead long").groupBy("at", "place").agg((F.sum("ahead") + 1).alias("rank")).where(F.col("rank") <= top)
+    names = spark.createDataFrame([(i, c["cfg"]) for i, c in enumerate(some)], f"place int, cfg {dict(configs.dtypes)['cfg']}")
+    return ranks.join(F.broadcast(names), "place").join(F.broadcast(known), "at").select("cfg", "task_id", "rank")
 
 
 def best_config(ranks: DataFrame, tasks: DataFrame, configs: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import math
 import statistics
 
 import numpy as np
@@ -156,3 +157,39 @@ def test_ablation_and_samples_from_an_index(spark):
 
     c = config.derived(config.DEFAULT | {"repositories": [{"id": "fd"}]}, "/x/", True)
     assert config.repositories(spark, c).first().source == "/x/balanced/fd"
+
+
+def brute_ranks(features, tasks, configs, top):
+    """Each configuration by itself, in plain Python."""
+    out = {}
+    for c in configs:
+        for task, goal in tasks:
+            points = {}
+            for doc in {f[1] for f in features if f[0] == task}:
+                rows = sorted(f[2:] for f in features if f[:2] == (task, doc) and f[2] <= c["max_terms"])
+                if not rows:
+                    continue
+                terms = min(rows[0][5], c["max_terms"])
+                head = terms if terms < 2 else max(1, math.floor(terms * (1 - c["min_match_ratio"])))
+                if sum(r[0] <= head for r in rows) != head or terms > head and not any(r[0] > head for r in rows):
+                    continue
+                parts = [(math.log((n - df + 0.5) / (df + 0.5) + 1) * (tf * (c["k1"] + 1) / (tf + c["k1"] * (1 - c["b"] + c["b"] * size / 120.0)))) * (1.0 if no <= head else 0.5) for no, tf, df, size, n, _ in rows if tf is not None]
+                points[doc] = min(1000, math.floor(sum(parts) * 100)) if parts else 1000
+            if goal in points and (rank := 1 + sum((-p, d) < (-points[goal], goal) for d, p in points.items())) <= top:
+                out[c["cfg"], task] = rank
+    return out
+
+
+@pytest.mark.parametrize("name", ["grid"])
+def test_grid_makes_no_row_for_a_configuration(spark, name):
+    """Ranks as by brute force, with tasks of few terms, missing numbers and ties; and a plan in which the rows are those of the features."""
+    rng = np.random.default_rng(5)
+    features = [(t, d, no, None if rng.random() < 0.05 else float(rng.integers(1, 4)), float(3 + no), float(80 + d % 3 * 40), 60.0, n) for t, n in ((1, 7), (2, 3), (3, 1), (4, 5)) for d in range(40) for no in range(1, n + 1) if rng.random() < 0.8]
+    full = lambda t: max(range(40), key=lambda d: sum(f[:2] == (t, d) for f in features))
+    tasks, configs = [(1, full(1)), (2, full(2)), (3, full(3)), (4, 99)], getattr(evaluate, name)()
+    fe = spark.createDataFrame(features, "task_id long, doc_id long, term_no int, tf double, df double, doc_length double, n double, n_terms int").withColumn("avg", F.lit(120.0))
+    some = spark.createDataFrame([(c["cfg"], c["k1"], c["b"], float(c["min_match_ratio"]), c["max_terms"]) for c in configs], "cfg int, k1 double, b double, min_match_ratio double, max_terms int")
+    ranks = evaluate.grid_scores(fe, spark.createDataFrame(tasks, "task_id long, gold_doc long"), some, 30)
+    got = {(r.cfg, r.task_id): r["rank"] for r in ranks.collect()}
+    assert got == brute_ranks(features, tasks, configs, 30) and len({t for _, t in got}) == 3
+    assert "explode(" not in ranks._jdf.queryExecution().optimizedPlan().toString()

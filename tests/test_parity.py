@@ -45,6 +45,24 @@ def test_places_of_tokens(spark):
     assert rows[1].t is None and rows[2].t == []
 
 
+def test_places_of_tokens_keep_few_python_objects(spark, monkeypatch):
+    """A batch of long texts goes into Arrow's buffers bit by bit; objects of all its tokens came to gigabytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["parseHTTP X9 _b " * 20_000, None, "", "é a"] * 3
+    tracemalloc.start()
+    out = T._place_batch(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out.flatten()) == 3 * (4 * 20_000 + 1) and peak < 60 * T.PLACE_TOKENS * 4
+    monkeypatch.setattr(T, "PLACE_TOKENS", 7)
+    assert T._place_batch(pa.array(texts)).equals(out) and T._place_batch(pa.array([], pa.string())).to_pylist() == []
+    assert out[0].as_py()[-2:] == [{"text": "x9", "pos": 16 * 19_999 + 10}, {"text": "b", "pos": 16 * 19_999 + 14}]
+    assert [out[i].as_py() for i in (1, 2, 3)] == [None, [], [{"text": "a", "pos": 2}]]
+
+
 @pytest.fixture
 def files(spark):
     return [("a.py", "def parse_args():\n    alpha beta\n", "python"), ("b.py", "alpha\n\n\nbeta parse args\n", "python"), ("c.md", "alpha beta", "markdown")]

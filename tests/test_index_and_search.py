@@ -242,4 +242,4 @@ def test_cursor_pages_asks_once(spark, monkeypatch):
 
     asked, indexed = [], Search.indexed
     monkeypatch.setattr(Search, "indexed", lambda *a, **kw: asked.append(a) or indexed(*a, **kw))
-    assert contract.cursor_pages(spark, SF).count() == 20 and len(asked) == 1
+    assert contract.cursor_pages(spark, SF.replace("sf0.001", "sf0.01")).count() == 99 and len(asked) == 1

@@ -16,6 +16,8 @@ of both; every batch draws the tables of its pairs from that digest, so all that
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -56,13 +58,20 @@ CLASS = byte_classes()
 
 
 def _zip(a: np.ndarray) -> bytes:
-    """By byte plane, where small numbers compress well."""
-    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    """By byte plane, where small numbers compress well. A plane at a time, as numpy turns a matrix byte by byte."""
+    rows = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)
+    planes = np.empty(rows.shape[::-1], np.uint8)
+    for k in range(len(planes)):
+        planes[k] = rows[:, k]
+    return zstandard.compress(planes, 1)
 
 
 def _unzip(b: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, -1).T.tobytes(), kind)
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    rows = np.empty(planes.shape[::-1], np.uint8)
+    for k, plane in enumerate(planes):
+        rows[:, k] = plane
+    return rows.ravel().view(kind)
 
 
 def spelled(words: list[bytes]):
@@ -86,6 +95,15 @@ def spelled(words: list[bytes]):
     return dish, keys, word
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) of keys of spelled(), whose bound makes a table of all keys cheaper than a sort."""
+    seen = np.zeros(DISHES * CLASSES**ORDER, bool)
+    seen[keys] = True
+    found, place = np.flatnonzero(seen), np.empty(len(seen), np.int32)
+    place[found] = np.arange(len(found))
+    return found, place[keys].astype(np.int64)
+
+
 def discount(counts: np.ndarray) -> float:
     one, two = (counts == 1).sum(), (counts == 2).sum()
     return float(min(max(one / max(one + 2 * two, 1), 0.1), 0.9))
@@ -163,10 +181,8 @@ class Spelling:
         if not words:
             return np.empty(0)
         _, keys, word = spelled(words)
-        p = None
-        for k in range(ORDER + 1):
-            p = self._look(k, keys[k], np.full(len(word), 1.0 / DISHES) if k == 0 else p)
-        return np.maximum(np.exp(np.bincount(word, np.log(p), minlength=len(words))), 1e-300)
+        key, at = distinct_keys(keys[ORDER])  # far fewer than the letters
+        return np.maximum(np.exp(np.bincount(word, np.log(self._look(ORDER, key))[at], minlength=len(words))), 1e-300)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -194,14 +210,19 @@ def drawn(n: np.ndarray, p: np.ndarray, marks: np.ndarray, turn: int, k: int) ->
     out, large = np.zeros(len(n), np.int64), n * p > 200
     z = np.sqrt(-2 * np.log(u[large])) * np.cos(2 * np.pi * _uniform(marks[large], turn, k | 1 << 31))
     out[large] = np.clip(np.rint(n[large] * p[large] + z * np.sqrt(n[large] * p[large] * (1 - p[large]))), 0, n[large])
+    here, reached = np.flatnonzero(~large), 0
+    n, p, u, got = n[here], p[here], u[here], out[here]
     mass = np.exp(n * np.log1p(-p))
     below, odds = mass.copy(), p / (1 - p)
-    live = np.flatnonzero(~large & (u > below))
-    while len(live):
-        out[live] += 1
-        mass[live] *= (n[live] - out[live] + 1) / out[live] * odds[live]
-        below[live] += mass[live]
-        live = live[(u[live] > below[live]) & (out[live] < n[live])]
+    while left := np.count_nonzero(going := (u > below) & (n > reached)):
+        if 4 * left < 3 * len(here):  # those that have their number leave, many at a time; until then they stay as they are
+            out[here] = got
+            here, n, u, got, mass, below, odds, going = (x[going] for x in (here, n, u, got, mass, below, odds, going))
+        reached += 1
+        got += going
+        mass *= (n - reached + 1) / reached * odds
+        below += mass
+    out[here] = got
     return out
 
 
@@ -239,7 +260,7 @@ def bigrams(code: np.ndarray, info: np.ndarray, hashes: np.ndarray):
     inner = digests != END_HASH
     inner[np.cumsum(info[:, 3]) - info[:, 3]] = False
     token = np.flatnonzero(inner)
-    marks = mix(digests[token - 1], digests[token])
+    marks = mix(digests[:-1], digests[1:])[inner[1:]]
     order = ordered(marks)
     token, marks = token[order], marks[order]
     begin = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])) if len(marks) else np.empty(0, np.int64)
@@ -376,11 +397,12 @@ def vocabulary(asks: DataFrame, buckets: int) -> DataFrame:
     """Kind 0: all words of all batches with their training counts, a row for each CHUNK words of a bucket. Kind 1: by batch, where in the bucket its words are."""
 
     def run(batches):
-        seen: dict[int, tuple[dict, list]] = {}
+        seen: dict[int, tuple[defaultdict, list]] = {}
         for pdf in batches:
             for batch, b, blob, more in zip(pdf["batch"], pdf["bucket"], pdf["blob"], pdf["more"], strict=True):
-                known, asked = seen.setdefault(b, ({}, []))
-                at = np.fromiter((known.setdefault(w, len(known)) for w in _split(blob)), np.int64)
+                known, asked = seen.setdefault(b, (defaultdict(), []))
+                known.default_factory = known.__len__  # a new word gets the next number
+                at = np.fromiter(map(known.__getitem__, _split(blob)), np.int64)
                 asked.append((batch, at, _unzip(more, np.int64).reshape(4, -1)))
         while seen:
             b, (known, asked) = seen.popitem()
@@ -423,7 +445,7 @@ def spelling_counts(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for pdf in batches:
             for blob, tables, customers in zip(pdf["words"], pdf["tables"], pdf["customers"], strict=True):
                 _, keys, word = spelled(_split(blob))
-                key, at = np.unique(keys[ORDER], return_inverse=True)
+                key, at = distinct_keys(keys[ORDER])
                 laid = _unzip(tables[-1], np.int64) if len(tables) else (_unzip(customers[-1], np.int64) > 0).astype(np.int64)
                 yield pd.DataFrame({"key": key, "n": np.bincount(at, laid[word]).astype(np.int64)})
 

@@ -3,12 +3,14 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from llm.conftest import CLASH, HARD, words
 from pyspark.sql import functions as F
 
@@ -590,3 +592,54 @@ def test_spelling_is_normalised():
         context = k[order] // pitman_yor.DISHES * pitman_yor.DISHES
         p = model._look(order, np.sort(context + np.arange(pitman_yor.DISHES)), np.full(pitman_yor.DISHES, 1 / 257) if order == 0 else p)
     assert p.sum() == pytest.approx(1.0) and 0 < one.sum() < 1
+
+
+def test_a_spelling_is_looked_up_once(monkeypatch):
+    """The letters of many words share few contexts; each is asked for once, and a word's probability is as if it came alone."""
+    ws = [f"{a}{b}{c}".encode() for a in "abcd" for b in "efgh" for c in "ijkl"] * 50
+    _, keys, _ = pitman_yor.spelled(ws)
+    key, at = np.unique(keys[pitman_yor.ORDER], return_inverse=True)
+    model = pitman_yor.Spelling(key, np.bincount(at), 1)
+    asked, look = [], pitman_yor.Spelling._look
+    monkeypatch.setattr(pitman_yor.Spelling, "_look", lambda self, k, x, *below: asked.append(len(x)) or look(self, k, x, *below))
+    got = model.probabilities(ws)
+    assert max(asked) == len(key)
+    assert (got == [model.probabilities([w])[0] for w in ws]).all()
+    found = pitman_yor.distinct_keys(keys[pitman_yor.ORDER])
+    assert (found[0] == key).all() and (found[1] == at).all()
+
+
+def test_byte_planes_cost_less_than_turning_the_matrix():
+    rng = np.random.default_rng(0)
+    for a in (rng.geometric(0.3, 400_000), rng.integers(0, 2**64, 400_000, dtype=np.uint64), rng.integers(0, 9, 800_000).astype(np.uint32), np.array([7])):
+        blob = pitman_yor._zip(a)
+        assert (pitman_yor._unzip(blob, a.dtype) == a).all()
+        assert zstandard.decompress(blob) == a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+    a = np.arange(1_000_000) % 50
+    cost = lambda f: min(f() for _ in range(3))
+
+    def both():
+        begin = time.process_time()
+        pitman_yor._unzip(pitman_yor._zip(a), np.int64)
+        return time.process_time() - begin
+
+    def turned():
+        begin = time.process_time()
+        a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+        return time.process_time() - begin
+
+    assert cost(both) < cost(turned)
+
+
+def test_drawn_numbers_are_the_inverse_of_the_distribution():
+    rng = np.random.default_rng(2)
+    n, p, marks = rng.integers(1, 900, 3000), rng.random(3000) * 0.2, rng.integers(0, 2**63, 3000).astype(np.uint64)
+    got, u = pitman_yor.drawn(n, p, marks, 1, 70), pitman_yor._uniform(marks, 1, 70)
+    for i in range(0, 3000, 7):
+        out, mass = 0, np.exp(n[i] * np.log1p(-p[i]))
+        below, odds = mass, p[i] / (1 - p[i])
+        while u[i] > below and out < n[i]:
+            out += 1
+            mass *= (n[i] - out + 1) / out * odds
+            below += mass
+        assert got[i] == out
